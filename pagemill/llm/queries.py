@@ -7,20 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, pii, simhash
 from .common import table
 
 #: The vocabulary of the BPE query; a file outside the repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: A real run takes its key from a secret store; a fixed one lets results be compared.
+PII_KEY = b"pagemill example key"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [f"pii_{k}" for k in pii.KINDS]
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "text", *counts)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op4_bpe": op4_bpe,
+        "op9_simhash": op9_simhash,
     }
 
 
