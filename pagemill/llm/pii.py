@@ -22,6 +22,7 @@ from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "credential")
 ROUNDS = 10
@@ -281,7 +282,5 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
                 columns[at] = pa.array(texts, columns[at].type)
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[k], pa.int64()) for k in KINDS)], names=[*part.schema.names, *names])
 
-    out = schema
-    for name in names:
-        out = out.add(name, "long")
+    out = StructType([*schema.fields, *(StructField(name, LongType()) for name in names)])
     return source.mapInArrow(run, out).select(*[F.col(f"`{c}`") for c in [*source.columns, *names]])

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices
 
@@ -203,9 +204,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
                 p = np.array([own.probabilities(x or "") for x in part.column(at).to_pylist()]).reshape(-1, len(CATEGORIES))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], names=[*part.schema.names, *names])
 
-    schema = source.schema
-    for name in names:
-        schema = schema.add(name, "double")
+    schema = StructType([*source.schema.fields, *(StructField(name, DoubleType()) for name in names)])
     return source.mapInArrow(run, schema)
 
 
