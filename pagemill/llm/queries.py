@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, html_text, pii, simhash, toxicity, warc
+from . import bpe, html_text, passages, pii, simhash, substrings, toxicity, warc
 from .common import table
 
 #: The vocabulary of the BPE query; a file outside the repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 #: A real run takes its key from a secret store; a fixed one lets results be compared.
 PII_KEY = b"pagemill example key"
 
@@ -44,14 +49,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.deduplicate(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substrings": op1_substrings,
         "op2_pii": op2_pii,
         "op4_bpe": op4_bpe,
         "op6_warc": op6_warc,
         "op7_html_text": op7_html_text,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
+        "op10_passages": op10_passages,
     }
 
 
