@@ -82,7 +82,7 @@ def _sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
 
 
-def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_terms: int, penalty: float = 1e-3, steps: int = 300) -> np.ndarray:
+def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_terms: int, penalty: float = 1e-4, steps: int = 400) -> np.ndarray:
     """Logistic regression with an L2 penalty by accelerated gradient descent on sparse rows."""
     row, column = _sparse(rows)
     n, k = len(rows), extra.shape[1]
@@ -143,7 +143,7 @@ def fit_chain(rows: list[np.ndarray], n_words: np.ndarray, toxic: np.ndarray, fo
         for f in range(FOLDS):
             train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(train) and len(test):
-                w = _fit([kept[i] for i in train], extra[train], y[train], k, steps=150)
+                w = _fit([kept[i] for i in train], extra[train], y[train], k, steps=200)
                 out[test] = _odds([kept[i] for i in test], extra[test], w, k)
         extra = np.column_stack([extra, out])
     return chain
