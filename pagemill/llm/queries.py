@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, html_text, passages, pii, simhash, substrings, toxicity, warc
+from . import bpe, decontaminate, html_text, passages, pii, simhash, substrings, toxicity, warc
 from .common import table
 
 #: The vocabulary of the BPE query; a file outside the repository.
@@ -32,6 +32,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0, segment_bytes=16384)
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substrings": op1_substrings,
         "op2_pii": op2_pii,
         "op4_bpe": op4_bpe,
+        "op5_decontaminate": op5_decontaminate,
         "op6_warc": op6_warc,
         "op7_html_text": op7_html_text,
         "op8_toxicity": op8_toxicity,
