@@ -214,7 +214,7 @@ def deduplicate(docs: DataFrame, length: int = 50, key: str = "doc_id", text: st
     """
     if not SEED + 8 <= length <= 255:
         raise ValueError("length must be 32 to 255 bytes")
-    rows, parts = dealt(docs, key, text)
+    rows, parts = dealt(docs, key, text, fine=4)
 
     def ask(table: pa.Table) -> pa.Table:
         keys, several = _minimizers(_slices(table, length))

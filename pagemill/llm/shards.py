@@ -73,13 +73,14 @@ def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def dealt(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, key: str, text: str, fine: int = 2) -> tuple[DataFrame, int]:
     """(shard, id, text) dealt to document shards, and how many there are.
 
-    Twice as many shards as shuffle partitions even out how they fall. A null id becomes the largest one.
+    `fine` times as many shards as shuffle partitions even out how they fall, and bound what a task holds at once. A
+    null id becomes the largest one.
     """
     spark = docs.sparkSession
-    n = 2 * shards(spark)
+    n = fine * shards(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     return rows.repartition(shards(spark), "shard"), n

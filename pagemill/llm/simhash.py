@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, shards, utf8
+from .common import cut, shards, slices, utf8
 from .graph import components
 
 BITS, SEGMENTS, KEY = 64, 16, 20
@@ -210,3 +211,148 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str
     smallest = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = nodes.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
     return prints.join(named, prints["fp"] == named["__fp"]).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Documents alike by their shingles: several fingerprints find candidates, a longer one verifies.
+
+#: Fingerprints of the distinct words (independent seeds) that find candidates, and of the shingles that verify.
+FINDERS, VERIFIERS = 4, 8
+
+
+def _of_set(items: list[bytes], seed: int) -> int:
+    h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(seed)), dtype=np.uint64, count=len(items))
+    counts = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(h), 65536):
+        counts += np.unpackbits(h[start : start + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+
+
+def _signature(text: bytes, words: int) -> bytes:
+    tokens = text.lower().split()
+    if not tokens:
+        return b"\0" * 8 * (FINDERS + VERIFIERS)
+    n = max(1, len(tokens) - words + 1)
+    spoken, shingles = list(set(tokens)), list({b" ".join(tokens[i : i + words]) for i in range(n)})
+    prints = [_of_set(spoken, k) for k in range(FINDERS)] + [_of_set(shingles, 1000 + k) for k in range(VERIFIERS)]
+    return np.array(prints, np.uint64).tobytes()
+
+
+def _budget(similarity: float) -> int:
+    """Differing bits of the verifying fingerprints at this Jaccard similarity, one deviation up."""
+    shared = 2 * similarity / (1 + similarity)
+    bits = BITS * VERIFIERS
+    rate = float(np.arccos(shared) / np.pi)
+    return int(bits * rate + (bits * rate * (1 - rate)) ** 0.5)
+
+
+def _alike(signatures: DataFrame, distance: int, budget: int | None) -> DataFrame:
+    """Spanning links u, v between nodes whose finders are within the distance in one seed and which verify."""
+    step = BITS // SEGMENTS
+    extra = "" if budget is None else ", verify binary"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, FINDERS + VERIFIERS)
+            verify = [] if budget is None else [pa.array([x.tobytes() for x in prints[:, FINDERS:]], pa.binary())]
+            for k in range(FINDERS):
+                for s in range(SEGMENTS):
+                    turned = _rotated(np.ascontiguousarray(prints[:, k]), s * step)
+                    key = (turned >> np.uint64(BITS - KEY)).astype(np.int64) | (k * SEGMENTS + s) << KEY
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(turned.view(np.int64)), batch.column(0), *verify], names=["bucket", "turned", "node", *["verify"] * len(verify)])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                if batch.num_rows == 0:
+                    continue
+                verify = None if budget is None else np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, VERIFIERS)
+                new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), verify)
+                held = new if held is None else tuple(None if a is None else np.concatenate([a, b]) for a, b in zip(held, new, strict=True))
+                if held[0][0] == held[0][-1]:
+                    continue
+                end = np.searchsorted(held[0], held[0][-1])
+            elif held is None:
+                return
+            else:
+                end = len(held[0])
+            if end:
+                yield from _verified(*(None if x is None else x[:end] for x in held), distance, budget)
+            held = tuple(None if x is None else x[end:] for x in held)
+
+    rows = signatures.select("node", "signature").mapInArrow(spread, "bucket bigint, turned bigint, node bigint" + extra)
+    rows = rows.repartition(shards(signatures.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(join, "u bigint, v bigint").distinct()
+
+
+def _verified(key, turned, node, verify, distance: int, budget: int | None) -> Iterator[pa.RecordBatch]:
+    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    sizes = np.diff(np.append(starts, len(key)))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    few = np.repeat(sizes <= 32, sizes)
+    values, name = np.unique(node, return_inverse=True)
+    root = np.arange(len(values))
+
+    def links(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        apart = root[name[a]] != root[name[b]]
+        a, b = a[apart], b[apart]
+        ok = _ring(turned[a] ^ turned[b], distance)
+        a, b = a[ok], b[ok]
+        if verify is not None and len(a):
+            ok = np.bitwise_count(verify[a] ^ verify[b]).sum(axis=1, dtype=np.int64) <= budget
+            a, b = a[ok], b[ok]
+        if len(a):
+            joined = _forest(len(values), root[name[a]], root[name[b]])
+            root = joined[root]
+
+    for gap in range(1, min(32, len(key))):
+        i = np.flatnonzero(few[:-gap] & (group[:-gap] == group[gap:]))
+        if len(i) == 0:
+            break
+        links(i, i + gap)
+    for g in np.flatnonzero(sizes > 32):
+        rows = np.arange(starts[g], starts[g] + sizes[g])
+        for one in range(0, len(rows), BLOCK):
+            for two in range(one, len(rows), BLOCK):
+                a, b = rows[one : one + BLOCK], rows[two : two + BLOCK]
+                # those already joined need no comparison: what is left shrinks as groups form
+                i, j = np.nonzero(root[name[a]][:, None] != root[name[b]][None, :])
+                links(a[i], b[j])
+    moved = np.flatnonzero(root != np.arange(len(values)))
+    if len(moved):
+        yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[root[moved]])], names=["u", "v"])
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, text: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: the columns of docs, unchanged, of its first row.
+
+    Texts are near duplicates if fingerprints of their distinct words differ in `distance` bits or fewer for one of
+    FINDERS seeds, and the 512 bits of their shingles' fingerprints differ no more than at the Jaccard similarity
+    asked for; groups are connected. Texts with equal fingerprints count as equal. The first row is that with the
+    smallest doc_id (nulls last), then by the row's hash; of wholly equal rows one stays. Null and empty texts are one
+    group. No candidate is dropped; the only all-pairs comparisons are within a bucket, and give a forest.
+    """
+    at = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, StructField("__signature", BinaryType())])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[at], 4 << 20):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_signature(x or b"", words) for x in utf8(part.column(at))], pa.binary())], names=[*part.schema.names, "__signature"])
+
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*docs.columns).alias("h"))
+    marked = docs.mapInArrow(sign, schema).withColumn("__row", order)
+    prints = cut(marked.select("__signature", "__row"))
+    # equal signatures are one node, named by a hash that no two signatures share but by chance of 2 ** -64 a pair
+    nodes = cut(prints.groupBy(F.xxhash64("__signature").alias("node")).agg(F.first("__signature").alias("signature"), F.min("__row").alias("row")))
+    budget = _budget(similarity)
+    family = components(_alike(nodes, distance, None))
+    near = components(_alike(nodes.join(family.select("node"), "node", "left_semi"), distance, budget))
+    named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__n"), F.col("row.i").alias("__i"), F.col("row.h").alias("__h"))
+    rows = docs.withColumn("__hash", F.xxhash64(*docs.columns))
+    kept = rows.join(first, (F.col("__hash") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)

@@ -79,30 +79,48 @@ class _Scan:
 
     def take(self, at: np.ndarray, lcp: np.ndarray) -> None:
         before = at - 1
-        ok = before >= 0
-        before = np.where(ok, before, 0)
-        index = np.flatnonzero(ok & (self.kind[before] == self.wanted))
+        if before.min() < 0:
+            index = np.flatnonzero((before >= 0) & (self.kind[before] == self.wanted))
+        else:
+            index = np.flatnonzero(self.kind[before] == self.wanted)
+        n, least = len(at), self.least.copy()
+        np.minimum(self.least, lcp.min(), out=self.least)
+        if len(index) == 0:
+            return
         first = self.text[before[index]]
         order = np.argsort(first, kind="stable")
         index, first = index[order], first[order]
-        self_least = int(lcp.min(initial=self.depth))
-        present = np.zeros(256, bool)
         edges = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(first)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:  # nothing is induced
-                break
-            c, own = int(first[a]), index[a:b]
-            end = int(own[-1]) + 1
-            lows = np.minimum.reduceat(lcp[:end], np.concatenate([[0], own[:-1] + 1]))
-            lows[0] = min(int(lows[0]), int(self.least[c]))
-            pushed = np.minimum(lows, self.depth - 1) + np.uint8(1)
-            if not self.used[c]:
-                pushed[0], self.used[c] = 0, True
-            self.spool.push(c, before[own], pushed)
-            self.least[c] = lcp[end:].min(initial=self.depth)
-            present[c] = True
-        others = ~present
-        self.least[others] = np.minimum(self.least[others], self_least)
+        heads, tails = edges[:-1], edges[1:] - 1
+        buckets = first[heads]
+        # least common prefix since the last push to the same bucket, by a table of minima over powers of two
+        since = np.empty(len(index), np.int64)
+        since[1:] = index[:-1] + 1
+        since[heads] = 0
+        last = index[tails]
+        lows, rest = _minima(lcp, np.concatenate([since, np.minimum(last + 1, n - 1)]), np.concatenate([index, np.full(len(last), n - 1)]), len(index))
+        rest[last + 1 > n - 1] = self.depth
+        lows[heads] = np.minimum(lows[heads], least[buckets])
+        pushed = np.minimum(lows, self.depth - 1) + np.uint8(1)
+        pushed[heads[~self.used[buckets]]] = 0
+        self.used[buckets] = True
+        self.least[buckets] = rest
+        moved = before[index]
+        push = self.spool.push
+        for c, x, y in zip(buckets.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            push(c, moved[x:y], pushed[x:y])
+
+
+def _minima(values: np.ndarray, start: np.ndarray, end: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least values from start to end, both included; in two parts."""
+    power = np.frexp(end - start + 1)[1] - 1
+    table = [values]
+    for k in range(int(power.max(initial=0))):
+        table.append(np.concatenate([np.minimum(table[k][: -(1 << k)], table[k][1 << k :]), table[k][len(table[k]) - (1 << k) :]]))
+    table = np.concatenate(table)
+    row = power.astype(np.int64) * len(values)
+    out = np.minimum(table[row + start], table[row + end - (1 << power.astype(np.int64)) + 1])
+    return out[:split], out[split:]
 
 
 def _words(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
