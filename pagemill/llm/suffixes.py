@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SEPARATOR, END = 0xFF, 0  # neither is in encoded text
+JOINED = 1 << 20
 
 
 def encoded(parts: list[bytes]) -> np.ndarray:
@@ -65,8 +66,20 @@ class Spool:
         return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(n), np.uint8)
 
     def pop(self, bucket: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The bucket's first blocks as one, up to JOINED tuples; with `last` its last block."""
         blocks = self.blocks[bucket]
-        return self._load(blocks.pop(-1 if last else 0)) if blocks else None
+        if not blocks:
+            return None
+        if last:
+            return self._load(blocks.pop())
+        taken, count = 0, 0
+        while taken < len(blocks) and count < JOINED:
+            block = blocks[taken]
+            count += len(block[0]) if isinstance(block[0], np.ndarray) else block[1]
+            taken += 1
+        loaded = [self._load(x) for x in blocks[:taken]]
+        del blocks[:taken]
+        return loaded[0] if taken == 1 else (np.concatenate([x for x, _ in loaded]), np.concatenate([y for _, y in loaded]))
 
 
 class _Scan:
