@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import NO_ID
-from .shards import bounds, dealt, folded, pair, rows_of, slid
+from .shards import bounds, dealt, folded, mix, pair, rows_of, slid
 from .substrings import _ANSWERS, _ENTRIES, _ENTRY_SCHEMA, _alive, _empty, _entries, _repeated
 
 SEED = 24
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Memory of the sorting queues of a key shard before they go to disk.
 MEMORY = 128 << 20
 
@@ -56,7 +56,7 @@ class Slice:
         ends = np.append(starts[1:], n)
         real = valid[starts]
         self.start, self.end = starts[real], ends[real]
-        self.h = lowest[self.start]
+        self.h = mix(lowest[self.start])  # low hashes; mixed again they are spread evenly over the key shards
         self.doc = np.searchsorted(self.offset, self.start, side="right") - 1
 
 
@@ -214,7 +214,7 @@ def deduplicate(docs: DataFrame, length: int = 50, key: str = "doc_id", text: st
     """
     if not SEED + 8 <= length <= 255:
         raise ValueError("length must be 32 to 255 bytes")
-    rows, parts = dealt(docs, key, text, fine=4)
+    rows, parts = dealt(docs, key, text)
 
     def ask(table: pa.Table) -> pa.Table:
         keys, several = _minimizers(_slices(table, length))

@@ -24,7 +24,7 @@ from .common import NO_ID
 from .shards import bounds, dealt, folded, minimizers, mix, pair, rows_of
 
 #: Text bytes hashed at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -50,7 +50,7 @@ class Words:
         space = _SPACE[data]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         starts, ends = edges[::2], edges[1::2]
-        up, down = _powers(max(1 << 21, 1 << len(data).bit_length()))
+        up, down = _powers(max(1 << 19, 1 << len(data).bit_length()))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * up[: len(data)])])
         h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         self.n = len(starts)
@@ -66,8 +66,9 @@ class Words:
         self.valid = self.doc[:full] == self.doc[self.n - full :]
         step = window - half
         if full:
-            self.lowest, chosen = minimizers(h, self.valid, step + 1)
-            self.asked = np.flatnonzero(chosen)
+            lowest, chosen = minimizers(h, self.valid, step + 1)
+            # a minimizer is a low hash: mixed again, its keys are spread evenly over the key shards
+            self.lowest, self.asked = mix(lowest), np.flatnonzero(chosen)
         else:
             self.lowest, self.asked = np.empty(0, np.uint64), np.empty(0, np.int64)
 
@@ -90,7 +91,7 @@ def _first_level(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
     keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for ids, texts in rows_of(table, SLICE):
         w = Words(texts, window)
-        keys.append(w.half[w.asked])
+        keys.append(mix(w.half[w.asked]))
         owners.append(ids[w.doc[w.asked]])
     keys, _, _, several = folded(np.concatenate(keys), np.concatenate(owners))
     return keys, several
