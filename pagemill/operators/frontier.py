@@ -27,18 +27,23 @@ def scope_reason(link: Column, allow=(), block=(), seed_hosts=(), trees=()) -> C
     return out
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """Ends the lineage in the folder that all executors share; a local one is made only where the session names none."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
+    return rows.checkpoint()
+
+
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 0, dead: DataFrame | None = None) -> DataFrame:
     """node and smallest depth of what the seeds reach along edges (src, dst); max_depth 0 goes on until nothing is new.
 
     One round for each depth: frontier joined with the edges, less what is visited or dead. Each round's frontier is
     checkpointed, so the plan doesn't grow with the depth.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
-    level = seeds.select(F.col("node").cast("long").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
+    level = checkpointed(seeds.select(F.col("node").cast("long").alias("node"), F.lit(0).alias("depth")).distinct())
     visited, depth = level, 0
     links = edges.select(F.col("src").alias("node"), F.col("dst").cast("long").alias("dst")).distinct()
     while (max_depth <= 0 or depth < max_depth) and level.take(1):
@@ -46,7 +51,7 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 0, dead:
         new = level.join(links, "node").select(F.col("dst").alias("node")).distinct().join(visited, "node", "left_anti")
         if dead is not None:
             new = new.join(dead, "node", "left_anti")
-        level = new.withColumn("depth", F.lit(depth)).checkpoint()
+        level = checkpointed(new.withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(level)
     return visited
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from pagemill.functions import text as t, urls as u, vocab as v
-from pagemill.operators import frontier, media
+from pagemill.operators import extract, frontier, images, media
 from . import derived as d
 from .derived import read
 
@@ -175,27 +175,28 @@ def _scored(spark, sf_dir):
 
 # ---- URLs of pages
 
-U = F.col("url")
+def U():  # noqa: N802 - made when a session is there
+    return F.col("url")
 
 
 @query(f"SELECT page_id, {s_host('url')} AS host, {s_path('url')} AS path, regexp_matches(url, '^(?i)https?:') AS is_http FROM pages")
 def url_host_path(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", u.host(U).alias("host"), u.path(U).alias("path"), u.is_http(U).alias("is_http"))
+    return read(spark, sf_dir, "pages").select("page_id", u.host(U()).alias("host"), u.path(U()).alias("path"), u.is_http(U()).alias("is_http"))
 
 
 @query(f"SELECT page_id, {s_media_key('url')} AS media_key FROM pages")
 def url_media_key(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", u.media_key(U).alias("media_key"))
+    return read(spark, sf_dir, "pages").select("page_id", u.media_key(U()).alias("media_key"))
 
 
 @query(f"SELECT page_id, {s_canonical('url')} AS canonical FROM pages")
 def url_canonical(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", u.canonical(U).alias("canonical"))
+    return read(spark, sf_dir, "pages").select("page_id", u.canonical(U()).alias("canonical"))
 
 
 @query("SELECT page_id, sha256(regexp_replace(url, '#.*$', '')) AS url_hash FROM pages")
 def url_hash(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", u.url_hash(U).alias("url_hash"))
+    return read(spark, sf_dir, "pages").select("page_id", u.url_hash(U()).alias("url_hash"))
 
 
 _S_SEARCH = f"({s_any(f'lower({s_path('url')})', v.SEARCH_PATHS)} OR {s_any(f'lower({s_query('url')})', v.SEARCH_QUERIES)})"
@@ -207,18 +208,18 @@ _S_PARTS = f"list_filter(string_split(lower({s_path('url')}), '/'), lambda y: y
 @query(f"""SELECT page_id, {_S_SEARCH} AS is_search, {s_archive('url', "''")} AS is_archive, {_S_PAGED} AS is_pagination,
   NOT {_S_SEARCH} AND NOT {_S_PAGED} AND (len({_S_PARTS}) >= 2 OR contains(coalesce({_S_PARTS}[-1], ''), '.')) AS is_detail, {_S_OPEN} AS is_allowed FROM pages""")
 def url_flags(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", u.is_search(U).alias("is_search"), u.is_archive(U, F.lit("")).alias("is_archive"), u.is_pagination(U).alias("is_pagination"), u.is_detail(U).alias("is_detail"), u.is_allowed_path(U).alias("is_allowed"))
+    return read(spark, sf_dir, "pages").select("page_id", u.is_search(U()).alias("is_search"), u.is_archive(U(), F.lit("")).alias("is_archive"), u.is_pagination(U()).alias("is_pagination"), u.is_detail(U()).alias("is_detail"), u.is_allowed_path(U()).alias("is_allowed"))
 
 
 @query(f"SELECT page_id, canonical FROM (SELECT page_id, {s_canonical('url')} AS canonical, row_number() OVER (PARTITION BY {s_canonical('url')} ORDER BY page_id) AS n FROM pages) WHERE n = 1")
 def canonical_dedup(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", u.canonical(U).alias("canonical"))
+    rows = read(spark, sf_dir, "pages").select("page_id", u.canonical(U()).alias("canonical"))
     return media.first_per_key(rows, "canonical", "page_id")
 
 
 @query(f"SELECT {s_host('url')} AS host, count(*) AS pages FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def host_page_counts(spark, sf_dir):
-    return read(spark, sf_dir, "pages").groupBy(u.host(U).alias("host")).agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "host").limit(20)
+    return read(spark, sf_dir, "pages").groupBy(u.host(U()).alias("host")).agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "host").limit(20)
 
 
 _BLOCK = ("example.org", "ads.example.com")
@@ -227,7 +228,7 @@ _BLOCK = ("example.org", "ads.example.com")
 @query(f"SELECT page_id, {s_host('url')} AS host FROM pages WHERE {s_in_hosts(s_host('url'), ('example.com', 'example.org', 'example.net'))} AND NOT {s_in_hosts(s_host('url'), (*v.BLOCKED_HOSTS, *v.LOGIN_WALL_HOSTS, *_BLOCK))}")
 def allow_block_hosts(spark, sf_dir):
     """Host rules as a table: hosts are spread into their suffixes, so that the semi and the anti join are on equality."""
-    pages = read(spark, sf_dir, "pages").select("page_id", u.host(U).alias("host"))
+    pages = read(spark, sf_dir, "pages").select("page_id", u.host(U()).alias("host"))
     block = spark.createDataFrame([(h,) for h in (*v.BLOCKED_HOSTS, *v.LOGIN_WALL_HOSTS, *_BLOCK)], "suffix string")
     allow = spark.createDataFrame([(h,) for h in ("example.com", "example.org", "example.net")], "suffix string")
     hosts = pages.select("host").distinct().select("host", F.explode(u.host_suffixes(F.col("host"))).alias("suffix"))
@@ -276,22 +277,22 @@ def frontier_bfs(spark, sf_dir):
 
 @query(f"WITH {ITEMS} SELECT seq, {s_image('url')} AS is_image, {s_video('url')} AS is_video, {s_any('lower(url)', v.BROKEN_MARKS)} AS is_broken, {s_video_type('url')} AS video_type FROM items")
 def media_type(spark, sf_dir):
-    return d.media_items(spark, sf_dir).select("seq", u.is_image(U).alias("is_image"), u.is_video(U).alias("is_video"), u.is_broken(U).alias("is_broken"), u.video_type(U).alias("video_type"))
+    return d.media_items(spark, sf_dir).select("seq", u.is_image(U()).alias("is_image"), u.is_video(U()).alias("is_video"), u.is_broken(U()).alias("is_broken"), u.video_type(U()).alias("video_type"))
 
 
 @query(f"WITH {ITEMS} SELECT seq, {s_thumbnail('url')} AS is_thumbnail, {s_small_parameter('url', 400)} AS small_parameter, {s_small_path('url', 400, 300)} AS small_path FROM items")
 def low_res_hints(spark, sf_dir):
-    return d.media_items(spark, sf_dir).select("seq", u.is_thumbnail(U).alias("is_thumbnail"), u.has_small_parameter(U).alias("small_parameter"), u.has_small_path(U).alias("small_path"))
+    return d.media_items(spark, sf_dir).select("seq", u.is_thumbnail(U()).alias("is_thumbnail"), u.has_small_parameter(U()).alias("small_parameter"), u.has_small_path(U()).alias("small_path"))
 
 
 @query(f"WITH {ITEMS} SELECT seq, {s_highres('url')} AS high_url, regexp_replace(url, '(?i)[_-](?:thumb|small|thumbnail|preview|mini)(\\.[a-z0-9]{{3,4}})($|\\?)', '\\1\\2', 'g') AS plain_url FROM items")
 def highres_rewrite(spark, sf_dir):
-    return d.media_items(spark, sf_dir).select("seq", u.high_resolution(U).alias("high_url"), u.without_size_suffix(U).alias("plain_url"))
+    return d.media_items(spark, sf_dir).select("seq", u.high_resolution(U()).alias("high_url"), u.without_size_suffix(U()).alias("plain_url"))
 
 
 @query(f"WITH {ITEMS} SELECT seq, {s_lines('url')} AS lines FROM items WHERE kind = 'video'")
 def video_resolution(spark, sf_dir):
-    return d.media_items(spark, sf_dir).where("kind = 'video'").select("seq", u.video_lines(U).alias("lines"))
+    return d.media_items(spark, sf_dir).where("kind = 'video'").select("seq", u.video_lines(U()).alias("lines"))
 
 
 @query(f"WITH {ITEMS} SELECT seq, {S_IMAGE_SCORE} AS score FROM j WHERE kind = 'image'")
@@ -316,7 +317,7 @@ def video_reason(spark, sf_dir):
 
 @query(f"WITH {ITEMS} SELECT seq, url FROM (SELECT seq, url, row_number() OVER (PARTITION BY {s_canonical('url')} ORDER BY seq) AS n FROM items) WHERE n = 1")
 def media_dedup_first(spark, sf_dir):
-    return media.first_per_key(d.media_items(spark, sf_dir).select("seq", "url"), u.canonical(U))
+    return media.first_per_key(d.media_items(spark, sf_dir).select("seq", "url"), u.canonical(U()))
 
 
 @query(f"""WITH {ITEMS}, k AS (SELECT *, {s_media_key('url')} AS media_key, CASE WHEN kind = 'video' THEN {s_lines('url')} WHEN {s_thumbnail('url')} THEN 0 ELSE 1 END AS a, CASE WHEN {s_query('url')} <> '' THEN 1 ELSE 0 END AS b FROM items)
@@ -333,7 +334,7 @@ def capped_ranked(spark, sf_dir):
 
 @query(f"WITH {SCORED} SELECT {s_canonical('url')} AS canonical, reason, min(seq) AS seq, count(*) AS n FROM scored WHERE reason IS NOT NULL GROUP BY 1, 2")
 def reject_dedup(spark, sf_dir):
-    return _scored(spark, sf_dir).where("reason is not null").groupBy(u.canonical(U).alias("canonical"), "reason").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+    return _scored(spark, sf_dir).where("reason is not null").groupBy(u.canonical(U()).alias("canonical"), "reason").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {ITEMS} SELECT seq, {s_host('source_page')} || '_' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INTEGER), '0') || '_' || substr(trim(regexp_replace(lower(regexp_extract({s_path('url')}, '([^/]*)$', 1)), '[^a-z0-9]+', '_', 'g'), '_'), 1, 40) AS stem
@@ -341,7 +342,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {s_host('source_page')} ORDER BY
 def download_stems(spark, sf_dir):
     host = u.host(F.col("source_page"))
     n = F.row_number().over(W.partitionBy(host).orderBy("seq")).cast("string")
-    name = F.substring(u.slug(F.regexp_extract(u.path(U), "([^/]*)$", 1)), 1, 40)
+    name = F.substring(u.slug(F.regexp_extract(u.path(U()), "([^/]*)$", 1)), 1, 40)
     return d.media_items(spark, sf_dir).select("seq", F.concat(host, F.lit("_"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), F.lit("0")), F.lit("_"), name).alias("stem"))
 
 
@@ -420,7 +421,7 @@ def profile_hosts(spark, sf_dir):
 
 @query(f"WITH {ITEMS} SELECT seq, {s_in_hosts(s_host('url'), ('h1.example.com', 'cdn.h4.example.com'))} AS blocked FROM items")
 def host_suffix_match(spark, sf_dir):
-    return d.media_items(spark, sf_dir).select("seq", u.in_hosts(u.host(U), ("h1.example.com", "cdn.h4.example.com")).alias("blocked"))
+    return d.media_items(spark, sf_dir).select("seq", u.in_hosts(u.host(U()), ("h1.example.com", "cdn.h4.example.com")).alias("blocked"))
 
 
 # ---- fetch telemetry
@@ -670,6 +671,24 @@ def hamming_pairs(spark, sf_dir):
     return media.near_pairs(_dhash(spark, sf_dir), "vec_id", "dhash", 4)
 
 
+@query()
+def near_dup_greedy(spark, sf_dir):
+    """Vectors kept by one pass in order: those near an earlier kept one go."""
+    hashes = _dhash(spark, sf_dir)
+    return images.greedy_unique(media.near_pairs(hashes, "vec_id", "dhash", 4), hashes, "vec_id")
+
+
+@query()
+def page_extract(spark, sf_dir):
+    """Links, images and videos of every page by the parser; in these pages all anchors are navigation."""
+    return extract.extract(read(spark, sf_dir, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_links_scoped(spark, sf_dir):
+    return extract.page_edges(read(spark, sf_dir, "pages"))
+
+
 @query(f"""WITH {SCORED}, p AS (SELECT page_id, {s_host('url')} AS host, {s_canonical('url')} AS canonical, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, {s_archive('url', "''")} AS listed, {_S_OPEN} AS open, html FROM pages),
  r AS (SELECT *, CASE WHEN NOT open THEN 'structural_path' WHEN listed THEN 'listing' WHEN NOT {s_any('lower(html)', DOC_WORDS)} THEN 'low_subject_relevance' WHEN length(html) < 1000 THEN 'low_score' END AS reason FROM p),
  f AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS n FROM r)
@@ -681,8 +700,8 @@ def page_flagship(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-host summary of pages: canonical URL, ordered rejection, first of each canonical URL."""
     low = F.lower("html")
-    reason = F.when(~u.is_allowed_path(U), "structural_path").when(u.is_archive(U, F.lit("")), "listing").when(~t.has_subject(low, list(DOC_WORDS)), "low_subject_relevance").when(F.length("html") < 1000, "low_score")
-    pages = read(spark, sf_dir, "pages").select("page_id", u.host(U).alias("host"), u.canonical(U).alias("canonical"), reason.alias("reason"))
+    reason = F.when(~u.is_allowed_path(U()), "structural_path").when(u.is_archive(U(), F.lit("")), "listing").when(~t.has_subject(low, list(DOC_WORDS)), "low_subject_relevance").when(F.length("html") < 1000, "low_score")
+    pages = read(spark, sf_dir, "pages").select("page_id", u.host(U()).alias("host"), u.canonical(U()).alias("canonical"), reason.alias("reason"))
     first = pages.groupBy("canonical").agg(F.min("page_id").alias("first_id"))
     rows = pages.join(first, "canonical")
     kept = F.col("reason").isNull()
