@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_text, passages, pii, simhash, substrings, toxicity, warc
+from . import bpe, decontaminate, html_text, passages, pii, simhash, substrings, toxicity, vectors, warc
 from .common import table
 
 #: The vocabulary of the BPE query; a file outside the repository.
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select("doc_id", "text", *counts)
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substrings": op1_substrings,
         "op2_pii": op2_pii,
+        "op3_vectors": op3_vectors,
         "op4_bpe": op4_bpe,
         "op5_decontaminate": op5_decontaminate,
         "op6_warc": op6_warc,

@@ -73,10 +73,12 @@ def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def dealt(docs: DataFrame, key: str, text: str, fine: int = 2) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, key: str, text: str, fine: int = 1) -> tuple[DataFrame, int]:
     """(shard, id, text) dealt to document shards, and how many there are.
 
-    `fine` times as many shards as shuffle partitions even out how they fall, and bound what a task holds at once. A
+    `fine` times as many shards as shuffle partitions. Packed arrays go from every document shard to every key
+    shard, as in any shuffle, so their number grows with the square: more shards than partitions cost more than they
+    even out. A
     null id becomes the largest one.
     """
     spark = docs.sparkSession

@@ -83,11 +83,8 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches by the links a-b."""
     root = np.arange(n)
     while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
+        one, two = root[a], root[b]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))  # the larger root hangs below the smaller
         while not np.array_equal(jumped := root[root], root):
             root = jumped
         left = root[a] != root[b]
