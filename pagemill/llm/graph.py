@@ -11,10 +11,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """`node`, `component`: for every node of an edge the smallest node that it reaches.
 
     Rounds of contraction. Each node takes its smallest neighbour (or itself) as parent, so a parent is never
-    larger and every tree's root is its smallest node; after one shortcut the edges are rewritten to the parents'
-    names, equal ones and loops go, and the rest is the next round's graph. The nodes with an edge at least halve
-    each round, so rounds grow with the logarithm of the component size. Nothing but a row count goes to the
-    driver. Null ends are ignored. No edges give no rows.
+    larger and every tree's root is its smallest node; the edges are rewritten to the roots' names, equal ones and
+    loops go, and the rest is the next round's graph. Only nodes smaller than all their neighbours outlive a round.
+    Nothing but the first row of a table, as a sign that it isn't empty, goes to the driver. Null ends are ignored. No edges give no rows.
     """
     pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     graph = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -23,9 +22,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while graph.take(1):
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        parent = cut(parent)
-        grand = parent.select(F.col("u").alias("p"), F.col("p").alias("g"))
-        jump = cut(parent.join(grand, "p").select(F.col("u").alias("old"), F.col("g").alias("new")))
+        jump = cut(parent.select(F.col("u").alias("old"), F.col("p").alias("new")))
+        while True:  # to the roots: each step doubles the reach, so a chain of n takes log n steps
+            to = jump.select(F.col("old").alias("new"), F.col("new").alias("far"))
+            longer = cut(jump.join(to, "new").select("old", "new", "far"))
+            jump = longer.select("old", F.col("far").alias("new"))
+            if not longer.where("new <> far").take(1):
+                break
         names = cut(_renamed(names, jump, "component"))
         graph = _renamed(_renamed(graph, jump, "u"), jump, "v").where("u <> v")
         graph = cut(graph.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
