@@ -15,13 +15,14 @@ within the distance agrees in one at least.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import cut, shards, slices, utf8
 from .graph import components
@@ -210,144 +211,255 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str
     return prints.join(named, prints["fp"] == named["__fp"]).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Documents alike by their shingles: several fingerprints find candidates, a longer one verifies.
+# Documents alike by their shingles: prefix filtering finds every candidate, the sets themselves decide.
 
-#: Fingerprints of the distinct words (independent seeds) that find candidates, and of the shingles that verify.
-FINDERS, VERIFIERS = 4, 8
+#: Shingles of about FREQUENT documents or more are put last in the order; one text in SAMPLE is read to find them.
+SAMPLE, FREQUENT, HOT = 64, 256, 200_000
+#: The least bits of a parity sketch, and the rows of a bucket above which pairs are made by blocks.
+PARITY, FEW = 512, 64
+#: Cells of the map of rows whose sets are asked for.
+MAP = 1 << 24
 
 
-def _of_set(items: list[bytes], seed: int) -> int:
-    h = np.fromiter(map(xxhash.xxh64_intdigest, items, repeat(seed)), dtype=np.uint64, count=len(items))
-    counts = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, len(h), 65536):
-        counts += np.unpackbits(h[start : start + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of `words` words; of A-Z lower-cased UTF-8 text. Fewer words: one shingle."""
+    tokens = text.lower().split()
+    parts = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=max(1, len(tokens) - words + 1)))
 
 
-def _signature(text: bytes, words: int) -> bytes:
-    tokens = text.lower().split()
-    if not tokens:
-        return b"\0" * 8 * (FINDERS + VERIFIERS)
-    n = max(1, len(tokens) - words + 1)
-    spoken, shingles = list(set(tokens)), list({b" ".join(tokens[i : i + words]) for i in range(n)})
-    prints = [_of_set(spoken, k) for k in range(FINDERS)] + [_of_set(shingles, 1000 + k) for k in range(VERIFIERS)]
-    return np.array(prints, np.uint64).tobytes()
+def _name(h: np.ndarray) -> int:
+    """A set's name, which no two sets share but by chance of 2 ** -64 a pair."""
+    return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64))
 
 
-def _budget(similarity: float) -> int:
-    """Differing bits of the verifying fingerprints at this Jaccard similarity, one deviation up."""
-    shared = 2 * similarity / (1 + similarity)
-    bits = BITS * VERIFIERS
-    rate = float(np.arccos(shared) / np.pi)
-    return int(bits * rate + (bits * rate * (1 - rate)) ** 0.5)
+_NODE = StructType([StructField("node", LongType()), StructField("n", IntegerType()), StructField("prefix", BinaryType()), StructField("sketch", BinaryType())])
 
 
-def _alike(signatures: DataFrame, distance: int, budget: int | None) -> DataFrame:
-    """Spanning links u, v between nodes whose finders are within the distance in one seed and which verify."""
-    step = BITS // SEGMENTS
-    extra = "" if budget is None else ", verify binary"
+class _Rule:
+    """Jaccard similarity of at least `similarity`, in whole numbers."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, similarity: float):
+        self.num, self.den = Fraction(str(similarity)).as_integer_ratio()
+
+    def overlap(self, a, b):
+        """The least number of common shingles of sets of a and b."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
+    def prefix(self, n: int) -> int:
+        """So many first shingles, in any order common to all sets, hold one of every set that is alike."""
+        return n + (-self.num * n // self.den) + 1
+
+    def possible(self, n, m, i, j):
+        """Whether sets of n <= m shingles with a common one at places i and j of their orders, and none before, can be alike."""
+        return (n * self.den >= m * self.num) & (np.minimum(n - i, m - j) >= self.overlap(n, m))
+
+
+def _hot(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample and their counts. They only order the shingles: any order finds the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets = [shingles(x or b"", words) for x in utf8(part.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    sample = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counts = sample.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT // SAMPLE)
+    found = counts.orderBy(F.desc("count"), "h").limit(HOT).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of runs of whole buckets; the rows come sorted by the first column."""
+    held: list[np.ndarray] = []
+    for batch in _then_none(batches):
+        if batch is not None:
             if batch.num_rows == 0:
                 continue
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, FINDERS + VERIFIERS)
-            verify = [] if budget is None else [pa.array([x.tobytes() for x in prints[:, FINDERS:]], pa.binary())]
-            for k in range(FINDERS):
-                for s in range(SEGMENTS):
-                    turned = _rotated(np.ascontiguousarray(prints[:, k]), s * step)
-                    key = (turned >> np.uint64(BITS - KEY)).astype(np.int64) | (k * SEGMENTS + s) << KEY
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(turned.view(np.int64)), batch.column(0), *verify], names=["bucket", "turned", "node", *["verify"] * len(verify)])
+            new = [c.to_numpy() for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if held[0][0] == held[0][-1]:
+                continue
+            end = np.searchsorted(held[0], held[0][-1])
+        else:
+            end = len(held[0]) if held else 0
+        if end:
+            yield [x[:end] for x in held]
+        held = [x[end:] for x in held]
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                if batch.num_rows == 0:
-                    continue
-                verify = None if budget is None else np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, VERIFIERS)
-                new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), verify)
-                held = new if held is None else tuple(None if a is None else np.concatenate([a, b]) for a, b in zip(held, new, strict=True))
-                if held[0][0] == held[0][-1]:
-                    continue
-                end = np.searchsorted(held[0], held[0][-1])
-            elif held is None:
-                return
-            else:
-                end = len(held[0])
-            if end:
-                yield from _verified(*(None if x is None else x[:end] for x in held), distance, budget)
-            held = tuple(None if x is None else x[end:] for x in held)
 
-    rows = signatures.select("node", "signature").mapInArrow(spread, "bucket bigint, turned bigint, node bigint" + extra)
-    rows = rows.repartition(shards(signatures.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(join, "u bigint, v bigint").distinct()
+def _shared(nodes: DataFrame) -> DataFrame:
+    """bucket, node, n, place: the rows of buckets (shingles of prefixes) with two sets at least."""
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "prefix", 1 << 18):
+                keys = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                sizes = [len(x) for x in keys]
+                columns = [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), sizes), np.repeat(part.column(1).to_numpy(), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "node", "n", "place"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _groups(batches):
+            same = columns[0][1:] == columns[0][:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["bucket", "node", "n", "place"])
+
+    schema = "bucket bigint, node bigint, n int, place int"
+    rows = nodes.select("node", "n", "prefix").mapInArrow(spread, schema)
+    return rows.repartition(shards(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "n").mapInArrow(several, schema)
+
+
+def _candidates(rows: DataFrame, rule: _Rule, near: int | None) -> DataFrame:
+    """u, v: pairs of a bucket that can be alike; of the next `near` sets by size, or all of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, node, place, component in _groups(batches):
+            n, place, us, vs = n.astype(np.int64), place.astype(np.int64), [], []
+
+            def pairs(a: np.ndarray, b: np.ndarray) -> None:
+                ok = rule.possible(n[a], n[b], place[a], place[b]) & (component[a] != component[b])  # noqa: B023
+                a, b = node[a[ok]], node[b[ok]]  # noqa: B023
+                us.append(np.minimum(a, b))  # noqa: B023
+                vs.append(np.maximum(a, b))  # noqa: B023
+
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            few = np.repeat((sizes <= FEW) | (near is not None), sizes)
+            for gap in range(1, min(FEW if near is None else near + 1, len(key))):
+                pairs(i := np.flatnonzero(few[:-gap] & (key[:-gap] == key[gap:])), i + gap)
+            for g in np.flatnonzero(sizes > FEW) if near is None else ():
+                end = starts[g] + sizes[g]
+                for one in range(starts[g], end, BLOCK):
+                    a = np.arange(one, min(one + BLOCK, end))
+                    far = starts[g] + np.searchsorted(n[starts[g] : end] * rule.num, n[a[-1]] * rule.den, "right")
+                    for two in range(one, far, BLOCK):
+                        b = np.arange(two, min(two + BLOCK, far))
+                        i, j = np.nonzero((component[a][:, None] != component[b][None, :]) & (a[:, None] < b[None, :]))
+                        pairs(a[i], b[j])
+            found = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0) if us else np.empty((0, 2), np.int64)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
+
+    return rows.select("bucket", "n", "node", "place", "component").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    """Parities of the counts of hashes by their low bits: two bits a shingle at least, PARITY at least."""
+    bits = max(PARITY, 1 << (2 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded: no more than the shingles in one set only."""
+    a, b = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, rule: _Rule) -> DataFrame:
+    """The pairs whose parity sketches don't differ in more bits than alike sets can have shingles of one only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            apart = [_apart(a, b) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            most = both - 2 * -(-rule.num * both // (rule.num + rule.den))
+            yield batch.select([0, 1]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    for end in "uv":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+    return pairs.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u bigint, v bigint")
 
-def _verified(key, turned, node, verify, distance: int, budget: int | None) -> Iterator[pa.RecordBatch]:
-    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-    sizes = np.diff(np.append(starts, len(key)))
-    group = np.repeat(np.arange(len(starts)), sizes)
-    few = np.repeat(sizes <= 32, sizes)
-    values, name = np.unique(node, return_inverse=True)
-    root = np.arange(len(values))
-
-    def links(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal root
-        apart = root[name[a]] != root[name[b]]
-        a, b = a[apart], b[apart]
-        ok = _ring(turned[a] ^ turned[b], distance)
-        a, b = a[ok], b[ok]
-        if verify is not None and len(a):
-            ok = np.bitwise_count(verify[a] ^ verify[b]).sum(axis=1, dtype=np.int64) <= budget
-            a, b = a[ok], b[ok]
-        if len(a):
-            joined = _forest(len(values), root[name[a]], root[name[b]])
-            root = joined[root]
-
-    for gap in range(1, min(32, len(key))):
-        i = np.flatnonzero(few[:-gap] & (group[:-gap] == group[gap:]))
-        if len(i) == 0:
-            break
-        links(i, i + gap)
-    for g in np.flatnonzero(sizes > 32):
-        rows = np.arange(starts[g], starts[g] + sizes[g])
-        for one in range(0, len(rows), BLOCK):
-            for two in range(one, len(rows), BLOCK):
-                a, b = rows[one : one + BLOCK], rows[two : two + BLOCK]
-                # those already joined need no comparison: what is left shrinks as groups form
-                i, j = np.nonzero(root[name[a]][:, None] != root[name[b]][None, :])
-                links(a[i], b[j])
-    moved = np.flatnonzero(root != np.arange(len(values)))
-    if len(moved):
-        yield pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[root[moved]])], names=["u", "v"])
 
+def _sets(nodes: DataFrame, asked: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
+    """node, items (its shingles) of the nodes asked for at least, made again from the texts.
 
-def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3, text: str = "text") -> DataFrame:
+    A map of fixed size of the rows asked for goes to the tasks, so no text is shuffled; what it lets through beyond
+    them meets no pair.
+    """
+    cell = F.pmod("h", F.lit(MAP)) + 1
+    rows = nodes.join(asked, "node", "left_semi").select(F.col("row.h").alias("h"))
+    maps = rows.select(F.bitmap_bucket_number(cell).alias("k"), F.bitmap_bit_position(cell).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bits = np.zeros(MAP // 8, np.uint8)
+    for r in maps.collect():
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() % MAP
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+            for part in slices(batch, "text", 1 << 20):
+                sets = [shingles(x or b"", words) for x in utf8(part.column(1))]
+                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "items"])
+
+    made = docs.select(F.xxhash64(*docs.columns).alias("h"), F.col(text).cast("string").alias("text")).mapInArrow(run, "node bigint, items binary")
+    return made.dropDuplicates(["node"])
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, rule: _Rule, text: str) -> DataFrame:
+    """The pairs u, v whose sets are alike, by the sets themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                keep.append(len(np.intersect1d(one, two, assume_unique=True)) >= rule.overlap(len(one), len(two)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs)
+    sets = _sets(nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, words, text)
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
+    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint"))
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """One row of each group of near duplicates: the columns of docs, unchanged, of its first row.
 
-    Texts are near duplicates if fingerprints of their distinct words differ in `distance` bits or fewer for one of
-    FINDERS seeds, and the 512 bits of their shingles' fingerprints differ no more than at the Jaccard similarity
-    asked for; groups are connected. Texts with equal fingerprints count as equal. The first row is that with the
-    smallest doc_id (nulls last), then by the row's hash; of wholly equal rows one stays. Null and empty texts are one
-    group. No candidate is dropped; the only all-pairs comparisons are within a bucket, and give a forest.
+    Texts are near duplicates if the Jaccard similarity of their sets of distinct shingles is `similarity` or more;
+    groups are connected. The first row is that with the smallest doc_id (nulls last), then by the row's hash; of
+    wholly equal rows one stays. Null and empty texts are one group.
+
+    The shingles have one order for all sets, rare ones first. Sets that are alike share one of the first shingles
+    of both (prefix filtering), so the buckets of these hold every pair; sizes, places and parity sketches rule out
+    only pairs that cannot be alike, and the rest is compared by the sets. First each set meets its next in size in a
+    bucket; then all pairs of a bucket that these links leave in different components.
     """
-    at = docs.columns.index(text)
-    schema = StructType([*docs.schema.fields, StructField("__signature", BinaryType())])
+    rule = _Rule(similarity)
+    hot, counts = _hot(docs, words, text)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, batch.schema.names[at], 4 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_signature(x or b"", words) for x in utf8(part.column(at))], pa.binary())], names=[*part.schema.names, "__signature"])
+            for part in slices(batch, "__text", 1 << 20):
+                names, sizes, prefixes, sketches = [], [], [], []
+                for x in utf8(part.column(1)):
+                    h = shingles(x or b"", words)
+                    names.append(_name(h))
+                    sizes.append(len(h))
+                    sketches.append(_sketch(h))
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                        h = h[np.lexsort((h, np.where(hot[at] == h, counts[at], 0)))]
+                    prefixes.append(h[: rule.prefix(len(h))].tobytes())
+                columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), part.column(0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "prefix", "sketch", "row"])
 
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*docs.columns).alias("h"))
-    marked = docs.mapInArrow(sign, schema).withColumn("__row", order)
-    prints = cut(marked.select("__signature", "__row"))
-    # equal signatures are one node, named by a hash that no two signatures share but by chance of 2 ** -64 a pair
-    nodes = cut(prints.groupBy(F.xxhash64("__signature").alias("node")).agg(F.first("__signature").alias("signature"), F.min("__row").alias("row")))
-    budget = _budget(similarity)
-    family = components(_alike(nodes, distance, None))
-    near = components(_alike(nodes.join(family.select("node"), "node", "left_semi"), distance, budget))
+    source = docs.select(order.alias("row"), F.col(text).cast("string").alias("__text"))
+    signed = source.mapInArrow(sign, StructType([*_NODE.fields, source.schema["row"]]))
+    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")], F.min("row").alias("row")))
+    rows = cut(_shared(nodes))
+    links = _alike(_bounded(_candidates(rows.withColumn("component", F.col("node")), rule, 2), nodes, rule), nodes, docs, words, rule, text)
+    joined = components(links)
+    apart = rows.join(joined, "node", "left").select("bucket", "n", "node", "place", F.coalesce("component", "node").alias("component"))
+    apart = apart.repartition(shards(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "n")
+    more = _alike(_bounded(_candidates(apart, rule, None), nodes, rule), nodes, docs, words, rule, text)
+    near = components(links.unionByName(more))
     named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__n"), F.col("row.i").alias("__i"), F.col("row.h").alias("__h"))
     rows = docs.withColumn("__hash", F.xxhash64(*docs.columns))

@@ -386,3 +386,11 @@ def test_representatives(docs, odd):
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and set(range(120, 130)).isdisjoint(ids)  # exact copies go, their first stays
     assert sorted(str(r["doc_id"]) for r in simhash.representatives(odd).collect()) == ["1", "2", "None"]
+
+
+def test_representatives_of_extended_copies(spark):
+    rng = random.Random(3)
+    base = [[f"w{rng.random()}" for _ in range(100)] for _ in range(20)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b, *(f"n{rng.random()}" for _ in range(22))]) for b in base]  # 96 of 118 shingles
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.representatives(docs).collect()} == set(range(20))
