@@ -394,3 +394,54 @@ def test_representatives_of_extended_copies(spark):
     texts = [" ".join(b) for b in base] + [" ".join([*b, *(f"n{rng.random()}" for _ in range(22))]) for b in base]  # 96 of 118 shingles
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.representatives(docs).collect()} == set(range(20))
+
+
+def near_copies(seed=11):
+    """Texts cut, extended or changed to similarities on both sides of 0.8, half by words that stand nowhere else."""
+    rng = random.Random(seed)
+    texts = []
+    for k in range(60):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([30, 80, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            changed, part = list(base), rng.uniform(0.02, 0.35)
+            kind = rng.randint(0, 3)
+            if kind == 0:
+                changed += [f"n{k}x{rng.random()}" for _ in range(int(part * len(base)))]
+            elif kind == 1:
+                del changed[: int(part * len(base))]
+            else:
+                for at in rng.sample(range(len(base)), max(1, int(part * len(base) / 5))):
+                    changed[at] = f"n{rng.random()}" if kind == 2 else base[0]
+            texts.append(" ".join(changed))
+    return texts
+
+
+def similar(one, two):
+    sets = []
+    for text in (one, two):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def firsts(texts):
+    """Positions of the first text of each group of all pairs at 0.8 or more."""
+    group = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if group[i] != group[j] and similar(texts[i], texts[j]) >= 0.8:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return {i for i, g in enumerate(group) if g == i}
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_representatives_of_near_copies_against_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)  # an order with frequent shingles last finds the same
+    monkeypatch.setattr(simhash, "FREQUENT", 4)
+    texts = near_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.representatives(docs).collect()}
+    assert got == firsts(texts) and len(texts) / 4 < len(got) < len(texts)
