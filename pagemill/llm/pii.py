@@ -7,8 +7,9 @@ is a bijection, so different values stay different. Domains that are no power of
 repeated until it falls inside.
 
 What is found, with its test: cards (Luhn), IBANs (mod 97), US social security numbers (area, group and serial),
-calendar dates (a real day from 1900 to 2099), IPv4 addresses (first part 1 to 223), telephone numbers (8 to 15
-digits), e-mail addresses, and credentials (access keys, and values after password, token, secret or api key).
+calendar dates (a real day from 1900 to 2099), IPv4 addresses (parts 0 to 255; a first part of 0,
+of 1 to 223 and of 224 and more each stay so), telephone numbers (8 to 15 digits), e-mail addresses, and credentials
+(access keys, and values after password, token, secret or api key, with digits or without).
 Digits that fail their test are left as they are.
 """
 
@@ -151,10 +152,11 @@ class Pseudonyms:
 
     def ip(self, text: str) -> str | None:
         parts = [int(x) for x in text.split(".")]
-        if max(parts) > 255 or not 0 < parts[0] < 224:
+        if max(parts) > 255:
             return None
         value = int.from_bytes(bytes(parts), "big")
-        value = self._number(value, 1 << 32, b"ip", lambda v: 0 < v >> 24 < 224)
+        low, high = next(x for x in ((0, 1), (1, 224), (224, 256)) if parts[0] < x[1])
+        value = self._number(value, 1 << 32, b"ip", lambda v: low <= v >> 24 < high)
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def nanp(self, text: str) -> str | None:
@@ -198,7 +200,11 @@ class Pseudonyms:
         return None
 
     def credential(self, text: str) -> str:
-        return self.characters(text, b"credential", hexadecimal=all(c in _HEX for c in text))
+        plain = all(c in _HEX for c in text)
+        new = self.characters(text, b"credential", hexadecimal=plain)
+        while not plain and all(c in _HEX for c in new):  # those are pseudonyms of hexadecimal values
+            new = self.characters(new, b"credential")
+        return new
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), in order and without overlap."""
@@ -212,8 +218,7 @@ class Pseudonyms:
             at = text.find("@", at + 1)
         if _HAS_CREDENTIAL.search(text):
             for m in _SECRET.finditer(text):
-                if any(c in _DIGIT for c in m[1]):
-                    found.append((m.start(1), m.end(1), "credential", self.credential(m[1])))
+                found.append((m.start(1), m.end(1), "credential", self.credential(m[1])))
         for m in _NUMBERS.finditer(text):
             kind, value = m.lastgroup, m[0]
             if m["iso"] or m["dmy"]:
@@ -248,8 +253,8 @@ class Pseudonyms:
         return "".join(out) + text[end:], counts
 
 
-#: Every kind holds a digit or an at sign.
-_WORTH = re.compile(r"[0-9@]")
+#: Every kind holds a digit or an at sign, or stands after an equals sign or a colon.
+_WORTH = re.compile(r"[0-9@=:]")
 
 
 @lru_cache(maxsize=4)

@@ -153,6 +153,18 @@ def test_only_valid_values_are_replaced():
     assert pii.Pseudonyms(b"key").replace(text) == (text, {})
 
 
+def test_every_address_and_credentials_without_digits():
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+    for text in ("to 248.40.198.62 and", "224.0.0.1", "255.255.255.255", "0.0.0.0", "0.12.3.4"):
+        new, counts = there.replace(text)
+        assert counts == {"ip": 1} and new != text and back.replace(new)[0] == text
+        first, other = (int(re.search("[0-9]+", x)[0]) for x in (text, new))
+        assert (first == 0, first > 223) == (other == 0, other > 223)
+    for text in ("password=correcthorse", "api_key: 'QwertyUiop'", 'token = "deadbeefcafe"'):
+        new, counts = there.replace(text)
+        assert counts == {"credential": 1} and new != text and back.replace(new)[0] == text
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"key")
     for n in (2, 10, 257, 1000):
