@@ -2,10 +2,12 @@
 
 The markup is read once, in linear time, into a tree of block elements; inline elements leave no node. Boilerplate
 (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is known by
-its tag, role, or a word of its class or id, and is left out. Every paragraph then passes points for its length and
+its tag, role, or a word of its class or id, and is left out, unless it holds the main element, or most of the text
+where little stands outside of it. Every paragraph then passes points for its length and
 its commas to its ancestors, all to the parent, half to the next and a third and less above, and a container's sum
 is discounted by its link density. The container with the most points is the main one; the article or main element
-around it, if there is one, stands for it, and siblings that score well are kept with it.
+around it, if there is one, stands for it, and siblings that score well are kept with it; without one, all siblings
+that are not mostly links are.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from .common import slices
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea iframe noembed noframes noscript xmp".split())
 DROPPED = frozenset("nav footer aside form menu dialog template svg math button select datalist object audio video canvas map head fieldset search".split())
+#: Never text of a page, whatever they hold; and those that only an article or main element in them brings back.
+UNREAD = frozenset("dialog template svg math button select datalist object audio video canvas map head".split())
+SIDE = frozenset("nav footer menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
 MARKS = frozenset(
@@ -32,6 +37,8 @@ MARKS = frozenset(
     "recommendations recirculation sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager paging toc footer foot header masthead topbar toolbar comment comments "
     "commentlist reply replies respond discussion disqus feedback widget widgets skip hidden outbrain taboola print tags tagcloud".split()
 )
+#: Words of these never mark a wrapper of the whole page.
+ASIDE = frozenset("cookie cookies consent gdpr comment comments commentlist reply replies respond discussion disqus hidden outbrain taboola".split())
 #: Elements nested deeper than this (as in browsers) leave no node; their text goes to the last that does.
 DEPTH = 512
 NOT_A_MARK_AFTER = frozenset("has with no without is".split())
@@ -45,10 +52,12 @@ _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "chars", "linked", "kept")
+    __slots__ = ("tag", "parent", "items", "marked", "aside", "dropped", "unread", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, marked: bool, aside: bool = False):
+        self.tag, self.parent, self.marked, self.aside = tag, parent, marked, aside
+        self.dropped = marked or parent is not None and parent.dropped
+        self.unread = tag in UNREAD or parent is not None and parent.unread
         self.items: list[Node | str] = []  # children and the text blocks between them
         self.points = 0.0
         self.chars = self.linked = 0
@@ -74,6 +83,14 @@ def is_boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     return False
 
 
+def _is_aside(attributes: dict[str, str]) -> bool:
+    """Whether a boilerplate element is hidden, a notice or reader comments, and so no wrapper of a page."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", ""):
+        return True
+    names = attributes.get("class", "") + " " + attributes.get("id", "")
+    return not ASIDE.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", names).lower()))
+
+
 class Tree:
     """Reads a page; a missing end tag ends with its parent, a page that breaks off ends there."""
 
@@ -85,11 +102,15 @@ class Tree:
         self.inside = self.depth = 0
         self.open: Counter[str] = Counter()
         self.blocks: list[tuple[Node, str, int]] = []
+        self.links: dict[tuple[int, int], int] = {}  # by node and place in its items: a text block's characters in links
         self._read(page)
         self._flush()
+        if any(node.dropped for node, _, _ in self.blocks):
+            self._restore()
+        self.blocks = [x for x in self.blocks if not x[0].dropped]
 
     def _data(self, text: str) -> None:
-        if not self.at.dropped:
+        if not self.at.unread:
             if "&" in text:
                 text = unescape(text)
             self.text.append(text)
@@ -100,6 +121,8 @@ class Tree:
         if self.text:
             block = " ".join("".join(self.text).split())
             if block:
+                if self.link_chars:
+                    self.links[id(self.at), len(self.at.items)] = self.link_chars
                 self.at.items.append(block)
                 self.blocks.append((self.at, block, self.link_chars))
             self.text = []
@@ -123,12 +146,12 @@ class Tree:
             self._leave(self.at)
         if tag in ("html", "body"):
             return
-        dropped = self.at.dropped or is_boilerplate(tag, attributes, self.inside > 0)
+        marked = is_boilerplate(tag, attributes, self.inside > 0)
         if self.depth >= DEPTH:
             return
         self.depth += 1
         self.open[tag] += 1
-        node = Node(tag, self.at, dropped)
+        node = Node(tag, self.at, marked, marked and _is_aside(attributes))
         self.at.items.append(node)
         self.at = node
         if tag in _MAIN:
@@ -157,6 +180,47 @@ class Tree:
         elif tag == "p" or tag == "br":
             self._flush()
 
+    def _restore(self) -> None:
+        """Takes marks off elements that hold the page's main element, or most of its text where little is left outside."""
+        while True:
+            top: dict[int, Node] = {}  # each block's outermost marked element
+            held: dict[int, float] = {}
+            main: dict[int, set[str]] = {}
+            all_points = outside = 0.0
+            found = False
+            for node, block, linked in self.blocks:
+                up, outer, tags = node, None, set()
+                while up is not None:
+                    if up.tag in _MAIN:
+                        tags.add(up.tag)
+                    if up.marked:
+                        outer = up
+                    up = up.parent
+                points = _points(block, linked) if node.tag in _ITEMS else 0.0
+                all_points += points
+                if outer is None:
+                    outside += points
+                    found = found or bool(tags)
+                else:
+                    top[id(outer)] = outer
+                    held[id(outer)] = held.get(id(outer), 0.0) + points
+                    main.setdefault(id(outer), set()).update(tags)
+            if found:
+                return
+            little = outside < all_points / 5
+            for k, node in top.items():
+                most = little and held[k] > all_points / 2
+                if not node.aside and ("main" in main[k] or most and (node.tag not in SIDE or main[k])):
+                    break
+            else:
+                return
+            node.marked = False
+            stack = [node]
+            while stack:
+                at = stack.pop()
+                at.dropped = at.marked or at.parent is not None and at.parent.dropped
+                stack += (x for x in at.items if isinstance(x, Node))
+
     def _read(self, page: str) -> None:
         at, n = 0, len(page)
         while at < n:
@@ -222,6 +286,10 @@ _MAIN = frozenset(("article", "main"))
 _ITEMS = frozenset(("p", "pre", "blockquote", "td", "li", "dd", "div", "section", "article", "main", "html", "figcaption", "center", "address", "th", "dt", "details"))
 
 
+def _points(block: str, linked: int) -> float:
+    return (1 + block.count(",") + min(len(block) / 100, 3)) * (1 - min(1, linked / len(block)))
+
+
 def _share(node: Node, points: float) -> None:
     level = 0
     while node is not None:
@@ -259,9 +327,8 @@ def main_text(page: str | None) -> str:
             up.linked += linked
             up = up.parent
         if node.tag in _ITEMS:
-            points = 1 + block.count(",") + min(size / 100, 3)
             container = node if node.tag in ("div", "section", "article", "main", "html") else node.parent
-            _share(container, points * (1 - min(1, linked / size)))
+            _share(container, _points(block, linked))
     best, most = tree.root, -1.0
     for node, _, _ in tree.blocks:
         up = node
@@ -283,13 +350,16 @@ def main_text(page: str | None) -> str:
         _walk(best, out)
     else:
         least = max(10.0, 0.2 * best.points)
-        for item in best.parent.items:
+        for k, item in enumerate(best.parent.items):
             if item is best:
                 _walk(best, out)
-            elif isinstance(item, Node) and not item.dropped and item.chars:
+            elif isinstance(item, str):
+                if best.tag not in _MAIN and tree.links.get((id(best.parent), k), 0) / len(item) < 0.25:
+                    out.append(item)
+            elif not item.dropped and item.chars:
                 density = item.linked / item.chars
                 well = item.tag not in ("ul", "ol", "table") and item.points * (1 - density) >= least
-                if well or item.tag == "p" and density < 0.25 and item.chars > 80 and best.tag not in _MAIN or item.tag in _HEADINGS and best.tag not in _MAIN:
+                if well or best.tag not in _MAIN and (density < 0.25 or item.tag in _HEADINGS):
                     _walk(item, out)
     return "\n".join(out)
 

@@ -323,6 +323,18 @@ def test_main_text(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+def test_main_text_in_wrappers_and_beside_the_best_container():
+    long = "A paragraph, long enough, with commas, of the article, that goes on, and on, for some time, until its end."
+    for before, after in (("<form id=aspnetForm>", "</form>"), ("<div id=wrapper class='right-sidebar'>", "</div>"), ("<div class='page-header-fixed'><form>", "</form></div>"), ("<nav><ul><li>Menu", "")):
+        for tag in ("article", "main", "div"):
+            if tag != "div" or "nav" not in before:
+                page = f"<body>{before}<nav><a href=/>Menu</a></nav><{tag}><p>{long}</p><p>{long}</p></{tag}><div class=sidebar><p>Side.</p></div>{after}<footer>f</footer>"
+                assert html_text.main_text(page) == f"{long}\n{long}", page
+    assert html_text.main_text("<div class='cookie-notice'><p>We use cookies, always.</p></div>") == ""
+    page = f"<body><div><div><p>{long}</p><p>{long}</p></div><ul><li>one<li>two</ul>bare text<blockquote>said</blockquote><table><tr><td>cell</table><section><p>The end.</p></section><ul><li><a href=/>More</a></ul><a href=/>link</a></div>"
+    assert html_text.main_text(page) == f"{long}\n{long}\none\ntwo\nbare text\nsaid\ncell\nThe end."
+
+
 # ---- 8 toxicity
 
 
