@@ -9,6 +9,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
@@ -22,6 +23,11 @@ from pagemill.functions import vocab as v
 LAYOUT_TAGS = frozenset(("nav", "aside", "footer", "header"))
 LAYOUT_WORDS = frozenset(("footer", "header", "sidebar", "nav", "navbar", "menu", "widget", "related", "sponsor", "advert", "ad", "ads", "banner", "social", "breadcrumb"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: By opened tag: the open elements that it ends, and those that they are not looked for beyond.
+ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)), "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)), "tr": (("tr", "td", "th"), ("table",))}
+ENDS |= dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))) | dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table"))) | dict.fromkeys(("thead", "tfoot"), ENDS["tbody"])
+P_ENDS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+P_WITHIN = ("button", "caption", "object", "table", "td", "th", "template")
 _IMAGE = re.compile(r"\.(" + "|".join(v.IMAGE_EXTENSIONS) + r")$")
 _VIDEO = re.compile(r"\.(" + "|".join(v.VIDEO_EXTENSIONS + v.STREAM_EXTENSIONS) + r")$")
 _STYLE_URL = re.compile(r"""background(?:-image)?\s*:[^;]*?url\((['"]?)(.*?)\1\)""", re.IGNORECASE)
@@ -104,6 +110,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.url, self.rows, self.seen = url, [], set()
         self.stack: list[tuple[str, bool]] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.title: list[str] = []
         self.og_title = ""
         self.anchor: dict | None = None
@@ -115,6 +122,17 @@ class Page(HTMLParser):
     def in_layout(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.open[self.stack.pop()[0]].pop()
+
+    def _imply(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
+        """Ends the outermost open element of tags inside the innermost of within."""
+        edge = max((self.open[x][-1] for x in within if self.open.get(x)), default=-1)
+        inner = [places[bisect_right(places, edge)] for x in tags if (places := self.open.get(x)) and places[-1] > edge]
+        if inner:
+            self._cut(min(inner))
+
     def add(self, kind: str, raw: str | None, text: str = "", width=None, height=None, place: str = "") -> None:
         if not raw or raw.startswith(("data:", "javascript:", "#")):
             return
@@ -132,10 +150,14 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attributes) -> None:
         a = {k: x or "" for k, x in attributes}
         words = set(re.split(r"[\s_-]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
+        if tag in P_ENDS:
+            self._imply(("p",), P_WITHIN)
+        if tag in ENDS:
+            self._imply(*ENDS[tag])
         layout = self.in_layout or tag in LAYOUT_TAGS or (tag not in ("html", "body") and bool(words & LAYOUT_WORDS))
         if tag not in VOID:
-            if len(self.stack) < 2000:
-                self.stack.append((tag, layout))
+            self.open.setdefault(tag, []).append(len(self.stack))
+            self.stack.append((tag, layout))
         number = lambda x: int(x) if x.isascii() and x.isdigit() and len(x) < 9 else None
         if tag == "meta":
             name, content = (a.get("property") or a.get("name", "")).lower(), a.get("content", "")
@@ -189,10 +211,8 @@ class Page(HTMLParser):
             if "ld+json" in self.script_kind:
                 self._linked_data(text)
             self._videos_in(text)
-        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 200), -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        if self.open.get(tag):
+            self._cut(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:

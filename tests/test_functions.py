@@ -129,3 +129,17 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("pressure").collect())) == sorted(map(tuple, machines.pressure(rows).collect()))
+
+
+def test_layout_ends_after_many_open_elements():
+    from pagemill.operators import extract
+
+    after = '</{0}><p><a href="/story">Story</a><img src="/a.jpg"></p><video src="/v.mp4"></video>'
+    for tag, inner in (("nav", "<ul>" + "<li>x" * 300 + "</ul>"), ("nav", "<ul>" + "<li>x" * 300), ("footer", "<p>x" * 300), ("aside", "<table>" + "<tr><td>x<td>y" * 200), ("header", "<dl>" + "<dt>x<dd>y" * 200), ("nav", "<b>" * 3000)):
+        _, rows, _ = extract.media_of("http://h/", f'<{tag}><img src="/menu.jpg">{inner}' + after.format(tag))
+        assert [(r["kind"], r["url"], r["in_layout"]) for r in rows] == [("link", "http://h/story", False), ("image", "http://h/a.jpg", False), ("video", "http://h/v.mp4", False)]
+    _, rows, _ = extract.media_of("http://h/", "<i>" * 2500 + '<nav><img src="/menu.jpg"></nav><img src="/a.jpg">')
+    assert [r["url"] for r in rows] == ["http://h/a.jpg"]
+    page = extract.Page("http://h/")
+    page.feed("<ul>" + '<li class="menu"><ul><li>x</ul>' + "<li>y" * 50 + '<img src="/a.jpg">')
+    assert len(page.stack) == 2 and [r["url"] for r in page.rows] == ["http://h/a.jpg"]
