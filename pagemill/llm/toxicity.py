@@ -2,13 +2,16 @@
 
 The label table flags toxic documents only, so two auxiliary categories are derived from it for the chain: `dense`
 (toxic, and toxic terms per word above the median of the toxic rows) and `severe` (toxic, with at least four toxic
-terms). The chain predicts dense, then severe, then toxic: each later model also gets the log-odds of the earlier
+terms). The chain predicts dense, then severe, then toxic: each later model also gets the probabilities of the earlier
 categories. In training these are out-of-fold predictions, so a later model learns from what an earlier one will say
 of unseen text; for scoring each model is refitted on all training rows.
 
-Features are the presence of words and of their first three to six letters (inflected forms share a stem), chosen by
-their association with the toxic label. Training takes a sample of at most `sample` labelled rows, those with the
-smallest hash of the id; scoring reads every whole text and needs no shuffle.
+Features are the presence of words and of their first three to six letters (inflected forms share a stem). A term is
+one if it speaks for toxicity with a log-likelihood gain of GAIN or more; there is no limit on how many. Terms and
+derived categories are chosen anew inside each fold, from the other folds' rows alone, so the out-of-fold predictions
+have seen nothing of the rows they are for. Terms are counted by fold and class in Spark, where the gains are taken too;
+the driver gets the chosen terms and, by training row, the numbers of those it holds. Training takes a sample of at most
+`sample` labelled rows, those with the smallest hash of the id; scoring reads every whole text and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -20,27 +23,35 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices
 
 CATEGORIES = ("dense", "severe", "toxic")
-#: Labelled rows used for training at most, terms they may be described by, and terms kept.
-SAMPLE, CANDIDATES, TERMS = 20_000, 60_000, 2_000
+#: Labelled rows used for training at most, and the least gain of a term: its toxic rows times the log of its odds.
+SAMPLE, GAIN = 20_000, 8.0
 FOLDS = 5
+#: Different terms counted before a task hands its counts on.
+COUNTED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _of_word(word: str) -> Iterator[str]:
+    """A word of three letters or more, marked with $, and its stems."""
+    if len(word) > 2:
+        yield word + "$"
+        for n in range(3, min(7, len(word))):
+            yield word[:n]
+
+
 def terms(text: str) -> set[str]:
-    """Distinct words of three letters or more, lower case, marked with $, and their stems."""
-    out = set()
-    for w in set(LETTERS.findall(text.lower())):
-        if len(w) > 2:
-            out.add(w[:64] + "$")
-            for n in range(3, min(7, len(w))):
-                out.add(w[:n])
-    return out
+    """Distinct terms of a text, lower case."""
+    return {t for w in set(LETTERS.findall(text.lower())) for t in _of_word(w)}
+
+
+def _probability(odds):
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 @dataclass
@@ -49,16 +60,16 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)  # by category: terms, earlier categories, intercept
 
     def __post_init__(self) -> None:
-        self._of_word: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def present(self, text: str) -> list[int]:
         """Indexes of the chain's terms in a text."""
         found: set[int] = set()
-        known, get = self._of_word, self.terms.get
+        known, get = self._known, self.terms.get
         for w in set(LETTERS.findall(text.lower())):
             at = known.get(w)
             if at is None:
-                at = () if len(w) < 3 else tuple(i for x in (w[:64] + "$", *(w[:n] for n in range(3, min(7, len(w))))) if (i := get(x)) is not None)
+                at = tuple(i for t in _of_word(w) if (i := get(t)) is not None)
                 if len(known) >= 300_000:
                     known.clear()
                 if len(w) < 40:
@@ -71,123 +82,150 @@ class Chain:
         if not self.weights:
             return [0.0] * len(CATEGORIES)
         at = self.present(text)
-        odds: list[float] = []
+        out: list[float] = []
         for w in self.weights:
-            n = len(w) - 1 - len(odds)
-            odds.append(float(w[-1] + w[at].sum() + sum(a * b for a, b in zip(w[n:-1], odds, strict=True))))
-        return [1 / (1 + float(np.exp(-min(max(x, -30), 30)))) for x in odds]
+            n = len(w) - 1 - len(out)
+            out.append(float(_probability(w[-1] + w[at].sum() + sum(a * b for a, b in zip(w[n:-1], out, strict=True)))))
+        return out
 
 
-def _sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+@dataclass
+class Cells:
+    """Which of n rows holds which of k terms, as parallel arrays."""
+
+    row: np.ndarray
+    term: np.ndarray
+    n: int
+    k: int
 
+    def part(self, rows: np.ndarray, terms: np.ndarray) -> Cells:
+        """The rows and terms marked, numbered anew."""
+        own = rows[self.row] & terms[self.term]
+        return Cells((np.cumsum(rows) - 1)[self.row[own]], (np.cumsum(terms) - 1)[self.term[own]], int(rows.sum()), int(terms.sum()))
 
-def _fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, n_terms: int, penalty: float = 1e-4, steps: int = 400) -> np.ndarray:
-    """Logistic regression with an L2 penalty by accelerated gradient descent on sparse rows."""
-    row, column = _sparse(rows)
-    n, k = len(rows), extra.shape[1]
-    weights = np.zeros(n_terms + k + 1)
+    def odds(self, extra: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.term], self.n) + extra @ w[self.k : -1] + w[-1]
 
-    def odds(w):
-        return np.bincount(row, w[column], n) + extra @ w[n_terms:-1] + w[-1]
+    def back(self, extra: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.term, r[self.row], self.k), extra.T @ r, [r.sum()]])
 
-    def back(r):
-        return np.concatenate([np.bincount(column, r[row], n_terms), extra.T @ r, [r.sum()]])
 
+def _fit(cells: Cells, extra: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 400) -> np.ndarray:
+    """Logistic regression with an L2 penalty by accelerated gradient descent."""
+    weights = np.zeros(cells.k + extra.shape[1] + 1)
     probe = np.ones_like(weights)
     for _ in range(20):  # the largest eigenvalue bounds the step
-        probe = back(odds(probe))
+        probe = cells.back(extra, cells.odds(extra, probe))
         size = np.linalg.norm(probe)
         probe /= max(size, 1e-12)
-    step = 1 / (0.25 * size / n + penalty)
+    step = 1 / (0.25 * size / cells.n + penalty)
     ahead, last = weights.copy(), weights
     for t in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(odds(ahead), -30, 30)))
-        gradient = back(p - y) / n + penalty * np.append(ahead[:-1], 0)
+        gradient = cells.back(extra, _probability(cells.odds(extra, ahead)) - y) / cells.n + penalty * np.append(ahead[:-1], 0)
         weights = ahead - step * gradient
         ahead = weights + t / (t + 3) * (weights - last)
         last = weights
     return weights
 
 
-def _odds(rows, extra, w, n_terms):
-    row, column = _sparse(rows)
-    return np.clip(np.bincount(row, w[column], len(rows)) + extra @ w[n_terms:-1] + w[-1], -30, 30)
+def _targets(cells: Cells, n_words: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
+    """The three categories of training rows, by the terms chosen for them."""
+    hits = np.bincount(cells.row, minlength=cells.n)
+    density = hits / np.maximum(n_words, 1)
+    middle = np.median(density[toxic]) if toxic.any() else 0.0
+    return [y.astype(float) for y in (toxic & (density > middle), toxic & (hits >= 4), toxic)]
+
 
+def fit_chain(cells: Cells, n_words: np.ndarray, toxic: np.ndarray, fold: np.ndarray, names: list[str], sets: np.ndarray) -> Chain:
+    """sets: by term, whether it is chosen without fold 0, 1, ... and (last) from all rows.
 
-def fit_chain(rows: list[np.ndarray], n_words: np.ndarray, toxic: np.ndarray, fold: np.ndarray, names: list[str]) -> Chain:
-    """rows: indexes into names by training row. No toxic or no other rows: a chain that calls nothing toxic."""
+    No toxic or no other rows: a chain that calls nothing toxic.
+    """
     if not 0 < toxic.sum() < len(toxic):
         return Chain({})
-    row, column = _sparse(rows)
-    n, n_pos = len(rows), int(toxic.sum())
-    pos = np.bincount(column, toxic[row].astype(float), len(names))
-    neg = np.bincount(column, minlength=len(names)) - pos
-    rate, base = (pos + 0.5) / n_pos, (neg + 0.5) / (n - n_pos)
-    gain = np.where((pos >= 3) & (rate > 5 * base), pos * np.log(rate / base), 0)
-    chosen = np.argsort(-gain, kind="stable")[:TERMS]
-    chosen = np.sort(chosen[gain[chosen] > 0])
-    new = np.full(len(names), -1)
-    new[chosen] = np.arange(len(chosen))
-    kept = [(x := new[r])[x >= 0] for r in rows]
-    k = len(chosen)
-    hits = np.array([len(r) for r in kept])
-    density = hits / np.maximum(n_words, 1)
-    targets = (toxic & (density > np.median(density[toxic])), toxic & (hits >= 4), toxic)
-    chain = Chain({names[i]: j for j, i in enumerate(chosen)})
-    extra = np.empty((n, 0))
-    for y in targets:
-        y = y.astype(float)
-        chain.weights.append(_fit(kept, extra, y, k))
-        out = np.zeros(n)
-        for f in range(FOLDS):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if len(train) and len(test):
-                w = _fit([kept[i] for i in train], extra[train], y[train], k, steps=200)
-                out[test] = _odds([kept[i] for i in test], extra[test], w, k)
+    every, chosen = np.ones(cells.n, bool), sets[:, FOLDS]
+    full = cells.part(every, chosen)
+    targets = _targets(full, n_words, toxic)
+    parts = []
+    for f in range(FOLDS):
+        train, test = fold != f, fold == f
+        if train.any() and test.any():
+            own = cells.part(train, sets[:, f])
+            parts.append((train, test, own, cells.part(test, sets[:, f]), _targets(own, n_words[train], toxic[train])))
+    chain = Chain({names[i]: j for j, i in enumerate(np.flatnonzero(chosen))})
+    extra = np.empty((cells.n, 0))
+    for c, y in enumerate(targets):
+        chain.weights.append(_fit(full, extra, y))
+        out = np.zeros(cells.n)
+        for train, test, own, held, wanted in parts:
+            out[test] = _probability(held.odds(extra[test], _fit(own, extra[train], wanted[c], steps=200)))
         extra = np.column_stack([extra, out])
     return chain
 
 
+def _gain(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
+    """A term's gain by the rows of both classes that hold it; 0 below three rows or five times the base rate."""
+    times = (pos + 0.5) / max(n_pos, 1) / ((neg + 0.5) / max(n_neg, 1))
+    return F.when((pos >= 3) & (times > 5), pos * F.log(times)).otherwise(0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fits the chain on at most `sample` rows of labels (doc_id, toxic) that have a text.
 
-    Rows with a null id or label are ignored; of repeated ids the largest label counts. What reaches the driver is
-    bounded by the sample: its ids and terms, never texts.
+    Rows with a null id or label are ignored; of repeated ids the largest label counts, and each text of the id is a
+    row. What reaches the driver is bounded by the sample: its ids and the chosen terms, never texts.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     chosen = chosen.withColumn("__hash", F.xxhash64("doc_id")).orderBy("__hash", "doc_id").limit(sample)
+    chosen = chosen.withColumn("__fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     texts = docs.where("text is not null").select(F.col("doc_id"), F.col("text").alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "__text", "__toxic")  # bounded by `sample`
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "__text", "__toxic", "__fold")  # bounded by `sample`
+    sizes = {(r["__fold"], r["__toxic"] == 1): r["n"] for r in rows.groupBy("__fold", (F.col("__toxic") == 1).cast("int").alias("__toxic")).agg(F.count("*").alias("n")).collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: Counter[tuple[str, int, int]] = Counter()
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*seen, strict=True)) if seen else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, seen.values()), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["term", "fold", "toxic", "n"])
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(terms(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
-
-    counted = rows.where("__toxic = 1").select("__text").mapInArrow(count, "term string, n bigint")
-    common = counted.groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    names = sorted(r["term"] for r in common.collect())
-    if not names:
+            for text, toxic, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                seen.update((t, fold, int(toxic == 1)) for t in terms(text))
+                if len(seen) >= COUNTED:
+                    yield told()
+                    seen.clear()
+        yield told()
+
+    counted = rows.select("__text", "__toxic", "__fold").mapInArrow(count, "term string, fold int, toxic int, n bigint")
+    both = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{y}{f}") for y in (0, 1) for f in range(FOLDS)]
+
+    def gain(without: int | None) -> Column:
+        own = [f for f in range(FOLDS) if f != without]
+        neg, pos = (sum((F.col(f"n{y}{f}") for f in own), F.lit(0)) for y in (0, 1))
+        return _gain(pos, neg, *(sum(sizes.get((f, y), 0) for f in own) for y in (True, False)))
+
+    sets = F.array(*[gain(f) >= GAIN for f in [*range(FOLDS), None]])
+    found = counted.groupBy("term").agg(*both).select("term", sets.alias("sets")).where(F.array_contains("sets", True)).orderBy("term").collect()
+    if not found:
         return Chain({})
+    names = [r["term"] for r in found]
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        own = Chain(shared.value)
         for batch in batches:
-            found, size = [], []
+            at, size = [], []
             for text in batch.column(1).to_pylist():
-                found.append(np.array(sorted(index[t] for t in terms(text) if t in index), dtype=np.int32).tobytes())
+                at.append(np.array(own.present(text), dtype=np.int32).tobytes())
                 size.append(len(LETTERS.findall(text)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "toxic", "terms", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(at, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "toxic", "fold", "terms", "words"])
 
-    got = rows.mapInArrow(describe, "doc_id bigint, toxic int, terms binary, words bigint").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    lists = [np.frombuffer(x, np.int32).astype(np.int64) for x in got["terms"].to_pylist()]
-    ids = got["doc_id"].to_numpy()
-    fold = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(lists, got["words"].to_numpy(), got["toxic"].to_numpy() == 1, fold.astype(int), names)
+    got = rows.mapInArrow(describe, "doc_id bigint, toxic int, fold int, terms binary, words bigint").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    held = got["terms"].to_pylist()
+    row = np.repeat(np.arange(len(held)), [len(x) // 4 for x in held])
+    cells = Cells(row, np.frombuffer(b"".join(held), np.int32).astype(np.int64), len(held), len(names))
+    return fit_chain(cells, got["words"].to_numpy(), got["toxic"].to_numpy() == 1, got["fold"].to_numpy(), names, np.array([r["sets"] for r in found]))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
@@ -209,5 +247,9 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """`docs` with the probabilities and `is_toxic` (p_toxic >= threshold); one row per row, repeated rows each."""
+    """`docs` with the probabilities and `is_toxic` (p_toxic >= threshold); one row per row, repeated rows each.
+
+    A probability equal to the threshold is toxic. Input columns named p_dense, p_severe, p_toxic or is_toxic are
+    replaced.
+    """
     return score(docs, train(docs, labels, sample)).withColumn("is_toxic", F.col("p_toxic") >= threshold)
