@@ -5,7 +5,10 @@ Whether a window is repeated is settled level by level: windows of half the leng
 are repeated in another document are extended to twice that length. Of the half-length windows only the
 minimizers (the lowest hash in each full window) are asked about: equal full windows have equal minimizers, so a full
 window whose minimizer is not repeated cannot be either. A level's hashes come from the last level's by pairing a
-window with the one that follows it (or overlaps it, where the target is no power of two).
+window with the one that follows it (or overlaps it, where the target is no power of two); words are hashed with XXH3.
+
+These hashes only decide what is extended. A full window is known by the 128 bits of the BLAKE2b digest of its words,
+so windows count as equal if their words are.
 
 The levels end at `window`: a longer repeat is covered by its windows of that length, so extending further would
 remove no other word. A level without survivors sends nothing.
@@ -14,10 +17,11 @@ remove no other word. A level without survivors sends nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import NO_ID
@@ -26,35 +30,20 @@ from .shards import bounds, dealt, folded, minimizers, mix, pair, rows_of
 #: Text bytes hashed at a time.
 SLICE = 1 << 18
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_BASE = 0x2545F4914F6CDD1D
 _ENTRIES = "key int, shard int, kind int, keys binary, checks binary, ids binary, several binary"
 _ANSWERS = "shard int, key int, kind int, mask binary, ids binary"
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 class Words:
-    """Hashes of the words and word windows of some documents."""
+    """The words of some documents and the hashes of their windows of half the length."""
 
     def __init__(self, texts: list[bytes], window: int):
-        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-        self.doc_start = np.cumsum([1, *(len(x) + 1 for x in texts)])[:-1]
-        space = _SPACE[data]
-        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-        starts, ends = edges[::2], edges[1::2]
-        up, down = _powers(max(1 << 19, 1 << len(data).bit_length()))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[data] * up[: len(data)])])
-        h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        self.n = len(starts)
-        self.doc = np.searchsorted(self.doc_start, starts, side="right") - 1
+        split = [x.split() for x in texts]
+        self.words = [w for x in split for w in x]
+        self.n = len(self.words)
+        self.first = np.cumsum([0, *map(len, split)])  # where each document's words start
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        h = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, self.n))
         self.window, half = window, (window + 1) // 2
         length = 1
         while length < half:  # doubling, the last step overlapping
@@ -73,9 +62,11 @@ class Words:
             self.lowest, self.asked = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def extended(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the full windows at the given positions."""
-        a, b = self.half[at], self.half[at + self.window - (self.window + 1) // 2]
-        return pair(a, b, 101), (pair(b, a, 202) >> np.uint64(32)).astype(np.uint32)
+        """The digests of the full windows at the given positions, in two halves."""
+        words, window = self.words, self.window
+        raw = b"".join([blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in at.tolist()])
+        halves = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _empty(schema: pa.Schema) -> pa.Table:
@@ -99,7 +90,7 @@ def _first_level(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _second_level(table: pa.Table, window: int, keys: np.ndarray, alive: np.ndarray):
     """Distinct full windows whose minimizer is alive, with check, smallest id and whether several documents have it."""
-    found, checks, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    found, checks, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for ids, texts in rows_of(table, SLICE):
         w = Words(texts, window)
         at = _candidates(w, keys, alive)
@@ -161,7 +152,7 @@ def _owners(table: pa.Table) -> pa.Table:
     blobs = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
     sizes = [len(x) for x in blobs]
     keys = np.concatenate(blobs)
-    checks = np.frombuffer(b"".join(table["checks"].to_pylist()), np.uint32)
+    checks = np.frombuffer(b"".join(table["checks"].to_pylist()), np.uint64)
     ids = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
     order = np.lexsort((checks, keys))
     new = np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)])
@@ -242,16 +233,15 @@ def _removed(table: pa.Table, window: int, keys, alive, found, low, named) -> It
             a, b = w.extended(at)
             if named is None:
                 place = np.searchsorted(found, a)
-            else:  # two windows share the first hash
+            else:  # two windows share the first half
                 place = np.searchsorted(named, np.rec.fromarrays([a, b], names="a,b"))
             hit = at[low[place] < ids[w.doc[at]]]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + window, -1)
         kept = np.cumsum(gone[:-1]) == 0
-        firsts = np.searchsorted(w.doc, np.arange(len(texts) + 1))
-        for i, x in enumerate(texts):
-            mask = kept[firsts[i] : firsts[i + 1]]
-            words = x.split()
+        for i in range(len(texts)):
+            start, end = int(w.first[i]), int(w.first[i + 1])
+            mask, words = kept[start:end], w.words[start:end]
             spans = []
             if not mask.all():
                 edges = np.flatnonzero(np.diff(np.concatenate([[True], mask, [True]]).astype(np.int8)))

@@ -83,6 +83,19 @@ def test_substrings_against_brute_force(docs):
         assert sum(s["end"] - s["start"] for s in got[i]["spans"]) == sum(gone)
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("letters", [64, 1024, 2048])
+def test_substrings_tell_long_words_apart(spark, letters):
+    """Words whose polynomial hashes are equal whatever the base; the rest of the window is the same."""
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{thue_morse(letters, 0)} {rest}"), (2, f"{thue_morse(letters, 1)} {rest}"), (3, f"{thue_morse(letters, 1)} {rest}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
 def test_passages_against_brute_force(docs):
     want = windows_removed(corpus(), 50, lambda t: list((t or "").encode()))
     got = {r["doc_id"]: r for r in passages.deduplicate(docs).collect()}
