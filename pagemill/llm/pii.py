@@ -3,8 +3,14 @@
 A found value is read as a number of its format's own domain, permuted there under the key, and written back in the
 same format: separators, lengths, letter case, country codes, domains and check digits stay right. Equal values get
 equal pseudonyms in every document whatever separators they are written with, so they stay linked; the permutation
-is a bijection, so different values stay different. Domains that are no power of four are walked: the permutation is
-repeated until it falls inside.
+is a bijection, so different values stay different. Numbers are permuted by a balanced network; domains that are no power
+of four are walked: the permutation is repeated until it falls inside. Strings are permuted by a network over their two
+halves, each character moving within its own kind, in time linear in their length, whatever it is.
+
+A date has one pseudonym in every notation, so a permutation of days keeps which days are above the 12th: where a
+notation says month first only because day first would be no date, its pseudonym must read so too. Days and months of one
+digit are written with two. A telephone number is known by its digits: the country code is read from them, and ten
+digits in groups of three, three and four are a number of country code 1 whether or not it is written.
 
 What is found, with its test: cards (Luhn), IBANs (mod 97), US social security numbers (area, group and serial),
 calendar dates (a real day from 1900 to 2099), IPv4 addresses (parts 0 to 255; a first part of 0,
@@ -16,20 +22,25 @@ Digits that fail their test are left as they are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import slices
+
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "credential")
 ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 _DIGIT, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+# The calling codes of one and two digits; all others have three.
+_CODE = re.compile(r"1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3}")
 
 _NUMBERS = re.compile(
     r"""(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
@@ -43,9 +54,9 @@ _NUMBERS = re.compile(
       | (?P<akia>(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9]))""",
     re.VERBOSE,
 )
-_SECRET = re.compile(r"""\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?([A-Za-z0-9][A-Za-z0-9_\-+/.]{5,127})""", re.IGNORECASE)
-_LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
-_DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"""\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?([A-Za-z0-9][A-Za-z0-9_\-+/.!@#$%^*~]{5,})""", re.IGNORECASE)
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])")
 _HAS_CREDENTIAL = re.compile(r"[=:]")
 
 
@@ -77,6 +88,18 @@ class Feistel:
             if value < n and (inside is None or inside(value)):
                 return value
 
+    def shift(self, places: list[int], sizes: list[int], tweak: bytes, back: bool = False) -> list[int]:
+        """The image of a string of places[i] < sizes[i]: by turns its halves are shifted by what the other says."""
+        half = len(places) // 2
+        parts, radix = [places[:half], places[half:]], [sizes[:half], sizes[half:]]
+        for i in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
+            own, other = i % 2, 1 - i % 2
+            n = len(parts[own])
+            raw = blake2b(bytes(parts[other]) + tweak, key=self.key, salt=i.to_bytes(16, "big")).digest()
+            by = array("I", raw if 4 * n <= len(raw) else shake_256(raw).digest(4 * n))
+            parts[own] = [(x - d if back else x + d) % m for x, d, m in zip(parts[own], by, radix[own], strict=False)]
+        return parts[0] + parts[1]
+
 
 def luhn(digits: str) -> int:
     """The Luhn sum modulo 10; 0 for a valid number."""
@@ -106,16 +129,10 @@ class Pseudonyms:
     def characters(self, text: str, tweak: bytes, hexadecimal: bool = False) -> str:
         """Permutes a string among those with the same kinds of character at the same places."""
         alphabets = [_HEX if hexadecimal else _DIGIT if c in _DIGIT else _LOWER if c in _LOWER else _UPPER if c in _UPPER else c for c in text]
-        value, n = 0, 1
-        for c, letters in zip(text, alphabets, strict=True):
-            value, n = value * len(letters) + letters.index(c), n * len(letters)
         shape = "".join("9" if a is _DIGIT else a[0] if len(a) > 1 else f"={a}" for a in alphabets).encode()
-        value = self._number(value, n, tweak + shape)
-        out = []
-        for letters in reversed(alphabets):
-            value, k = divmod(value, len(letters))
-            out.append(letters[k])
-        return "".join(reversed(out))
+        places = [a.index(c) for a, c in zip(alphabets, text, strict=True)]
+        new = self.feistel.shift(places, [len(a) for a in alphabets], tweak + shape, self.back)
+        return "".join(a[k] for a, k in zip(alphabets, new, strict=True))
 
     def email(self, text: str) -> str:
         local, at, domain = text.partition("@")
@@ -159,25 +176,24 @@ class Pseudonyms:
         value = self._number(value, 1 << 32, b"ip", lambda v: low <= v >> 24 < high)
         return ".".join(map(str, value.to_bytes(4, "big")))
 
-    def nanp(self, text: str) -> str | None:
+    def phone(self, text: str, grouped: bool = False) -> str | None:
+        """grouped: written in groups of three, three and four digits, after a 1 or not."""
         digits = "".join(c for c in text if c in _DIGIT)
+        if not 8 <= len(digits) <= 15:
+            return None
+        national = grouped and len(digits) == 10
+        code = "1" if national or grouped else _CODE.match(digits)[0]
+        lead = "" if national else code
+        body, n = digits[len(lead) :], len(digits) - len(lead)
 
         def real(v: int) -> bool:
             return v // 10**9 > 1 and v // 10**6 % 10 > 1
 
-        lead, value = digits[:-10], int(digits[-10:])
-        if not real(value):
-            return self.phone(text)
-        return _refill(text, lead + f"{self._number(value, 10**10, b'phone+1', real):010d}")
-
-    def phone(self, text: str) -> str | None:
-        digits = "".join(c for c in text if c in _DIGIT)
-        if not 8 <= len(digits) <= 15:
-            return None
-        plus = re.match(r"\+([0-9]{1,3})(?=[ .(-])", text)
-        lead = plus[1] if plus else digits[:2] if text[0] == "+" else ""
-        body, n = digits[len(lead) :], len(digits) - len(lead)
-        return _refill(text, lead + f"{self._number(int(body), 10**n, b'phone+' + lead.encode()):0{n}d}")
+        inside = None
+        if code == "1" and n == 10:
+            kind = real(int(body))
+            inside = lambda v: real(v) == kind
+        return _refill(text, lead + f"{self._number(int(body), 10**n, b'phone+' + code.encode(), inside):0{n}d}")
 
     def day(self, text: str, year_first: bool) -> str | None:
         parts = re.split(r"[-/.]", text)
@@ -186,15 +202,15 @@ class Pseudonyms:
             orders = ((0, 1, 2),)
         else:
             orders = ((2, 1, 0), (2, 0, 1))  # day first; month first only where day first is no date
-        for rank, order in enumerate(orders):
+        for order in orders:
             try:
                 found = date(*(int(parts[i]) for i in order))
             except ValueError:
                 continue
             if not 0 <= (value := (found - FIRST_DAY).days) < DAYS:
                 return None
-            inside = (lambda v: (FIRST_DAY + timedelta(v)).day > 12) if rank else None
-            new = FIRST_DAY + timedelta(self._number(value, DAYS, b"day%d" % rank, inside))
+            late = found.day > 12
+            new = FIRST_DAY + timedelta(self._number(value, DAYS, b"day", lambda v: ((FIRST_DAY + timedelta(v)).day > 12) == late))
             by_part = dict(zip(order, (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"), strict=True))
             return mark.join(by_part[i] for i in range(3))
         return None
@@ -209,13 +225,13 @@ class Pseudonyms:
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym), in order and without overlap."""
         found = []
-        at = text.find("@")
+        at, last = text.find("@"), 0
         while at >= 0:
-            local = _LOCAL.search(text, max(0, at - 65), at)
+            start = last + len(text[last:at].rstrip(_LOCAL))
             domain = _DOMAIN.match(text, at)
-            if local and domain and at - local.start() <= 64:
-                found.append((local.start(), domain.end(), "email", self.email(text[local.start() : domain.end()])))
-            at = text.find("@", at + 1)
+            if start < at and domain:
+                found.append((start, domain.end(), "email", self.email(text[start : domain.end()])))
+            last, at = at + 1, text.find("@", at + 1)
         if _HAS_CREDENTIAL.search(text):
             for m in _SECRET.finditer(text):
                 found.append((m.start(1), m.end(1), "credential", self.credential(m[1])))
@@ -226,7 +242,7 @@ class Pseudonyms:
             elif m["card"]:
                 kind, new = "card", self.card(value)
             elif m["nanp"] or m["phone"]:
-                kind, new = "phone", self.nanp(value) if m["nanp"] else self.phone(value)
+                kind, new = "phone", self.phone(value, bool(m["nanp"]))
             elif m["akia"]:
                 kind, new = "credential", value[:4] + self.characters(value[4:], b"access key")
             else:
@@ -275,8 +291,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pseudonyms(key, back)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for part in slices(batch, batch.schema.names[at], 4 << 20):
                 texts, counts = [], {k: [] for k in KINDS}
                 for x in part.column(at).to_pylist():
                     new, n = (None, {}) if x is None else p.replace(x)

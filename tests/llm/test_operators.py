@@ -178,6 +178,81 @@ def test_every_address_and_credentials_without_digits():
         assert counts == {"credential": 1} and new != text and back.replace(new)[0] == text
 
 
+def test_equal_values_stay_linked_in_every_notation():
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+
+    def one(text):
+        new, counts = there.replace(text)
+        assert sum(counts.values()) == 1 and new != text and back.replace(new)[0] == text, text
+        return new
+
+    for month_first, day_first, iso in (("12/25/2020", "25/12/2020", "2020-12-25"), ("03/31/1999", "31.03.1999", "1999/03/31")):
+        days = set()
+        for text, order in ((month_first, (2, 0, 1)), (day_first, (2, 1, 0)), (iso, (0, 1, 2))):
+            parts = re.split("[-/.]", one(text))
+            days.add(tuple(parts[k] for k in order))
+        assert len(days) == 1
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    for numbers in (("+351912345678", "+351 912 345 678", "+351-912-345-678"), ("+16835556293", "+1 (683) 555-6293", "1-683-555-6293"), ("+442079460958", "+44 20 7946 0958")):
+        assert len({digits(one(x)) for x in numbers}) == 1
+        assert all(one(x).startswith(re.match(r"\+?(351|1|44)", x)[0]) for x in numbers)
+    assert digits(one("(683) 555-6293")) == digits(one("+1 683 555 6293"))[1:]
+
+
+def test_no_value_is_too_long():
+    there, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+    rng = random.Random(8)
+    for n in (7, 128, 200, 5000, 300_000):
+        secret = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCXYZ0123456789", k=n))
+        for text in (f"say password={secret} now", f"to {secret}@example.com now", f"to a@{'x' * n}.{'y' * 40}.example.museumofmodernartists"):
+            new, counts = there.replace(text)
+            assert sum(counts.values()) == 1 and back.replace(new)[0] == text
+            if secret in text:  # no run of the secret stays
+                at = text.index(secret)
+                assert all(new[at + k : at + k + 20] != text[at + k : at + k + 20] for k in range(0, n - 20, 20))
+    assert there.replace("password=P@ssw0rd!")[0].endswith("!") and "P@ssw0rd" not in there.replace("password=P@ssw0rd!")[0]
+
+
+def test_pseudonyms_against_planted_values(spark):
+    """Every planted value goes, by the same pseudonym everywhere; different ones stay different; the rest stays."""
+    rng = random.Random(12)
+
+    def card():
+        body = "4" + "".join(rng.choices("0123456789", k=14))
+        return next(body + str(k) for k in range(10) if pii.luhn(body + str(k)) == 0)
+
+    makers = {
+        "card": card,
+        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+        "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "phone": lambda: f"+49 {rng.randint(100, 999)} {rng.randint(1000000, 9999999)}",
+        "email": lambda: f"{rng.choice('abc')}{rng.randint(0, 10**6)}@example.org",
+        "credential": lambda: f"k{rng.getrandbits(60):x}z",
+    }
+    values = [(k, make()) for k, make in makers.items() for _ in range(40)]
+    rows, plan = [], []
+    for i in range(300):
+        chosen = rng.sample(values, 3)
+        parts = [rng.choice(["clean words, here", "version 4.0", "12 of 300"]) for _ in range(4)]
+        rows.append((i, " | ".join([parts[0]] + [x for (k, v), p in zip(chosen, parts[1:]) for x in (f"token={v}" if k == "credential" else v, p)])))
+        plan.append((chosen, parts))
+    out = {r["doc_id"]: r["text"].split(" | ") for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()}
+    names = {}
+    for i, (chosen, parts) in enumerate(plan):
+        assert out[i][::2] == parts
+        for value, new in zip(chosen, out[i][1::2]):
+            assert value[1] not in new and names.setdefault(value, new) == new
+    assert len(set(names.values())) == len(names)
+
+
+def test_days_and_strings_are_permuted_whole():
+    there = pii.Pseudonyms(b"key")
+    days = [(pii.FIRST_DAY + pii.timedelta(k)).isoformat() for k in range(0, pii.DAYS, 1)]
+    assert {there.day(d, True) for d in days[::7]} <= set(days) and len({there.day(d, True) for d in days[:4000]}) == 4000
+    assert sorted(there.characters(f"{k:03d}", b"t") for k in range(1000)) == [f"{k:03d}" for k in range(1000)]
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"key")
     for n in (2, 10, 257, 1000):
