@@ -423,6 +423,45 @@ def test_main_text_in_wrappers_and_beside_the_best_container():
     assert html_text.main_text(page) == f"{long}\n{long}\none\ntwo\nbare text\nsaid\ncell\nThe end."
 
 
+P1 = "The first paragraph, long enough, with commas, says what the page is about, and goes on, for a while, until its end."
+P2 = "The second paragraph, as long, with as many commas, adds what the first left out, and then, at last, ends as well."
+#: Page shapes and the text that a reader would call the article.
+SHAPES = {
+    "inline adverts": (f"<article><p>{P1} <span class='ad'>BUY NOW</span></p><p>{P2}<span hidden> no</span><i style='display: none'>no</i></p><p><span class=note>yes</span></p></article>", [P1, P2, "yes"]),
+    "inline block in an advert": (f"<article><p>{P1}</p><span class=ad-slot>Buy <b>now</b><div>or <span>never</span></div></span><p>{P2}</article>", [P1, P2]),
+    "divisions only": (f"<body><div id=top-nav><a href=/>Home</a></div><div id=post><div class=title><h1>Title</h1></div><div class=body><div><p>{P1}</p></div><div><p>{P2}</p><p>Short.</p><pre>x = 1\n y</pre><table><tr><td>a<td>b</table></div></div></div><div class=site-footer>f</div>", ["Title", P1, P2, "Short.", "x = 1 y", "a", "b"]),
+    "beside the paragraphs": (f"<body><div><pre>code here</pre><div><p>{P1}</p><p>{P2}</p></div><p>Short.</p><table><tr><th>h<td>c</table></div>", ["code here", P1, P2, "Short.", "h", "c"]),
+    "names that only look like marks": (f"<body><div class='social-science'><div class='tags-python related-work'><p>{P1}</p><p id=follow-through>{P2}</p><p class='print skip-logic'>Short.</p></div></div><div class=social-links><a href=/>f</a></div><footer>f</footer>", [P1, P2, "Short."]),
+    "a weak mark on the article": (f"<body><div class=related><p>{P1}</p><p>{P2}</p><p>{P1}</p></div><div class=related><ul><li><a href=/>More</a><li><a href=/>And more</a></ul></div><div class=share>Share this</div>", [P1, P2, P1]),
+    "overflow is not hidden": (f"<main class='overflow-hidden no-sidebar'><h2 class=entry-header>Head</h2><p>{P1}</p><div class=hidden>no</div><p>{P2}</p></main>", ["Head", P1, P2]),
+    "lists, quotes and definitions": (f"<article><p>{P1}<ul><li>one<li>two<ul><li>three</ul></ul><blockquote><p>{P2}</blockquote><dl><dt>t<dd>d</dl><hr>end</article>", [P1, "one", "two", "three", P2, "t", "d", "end"]),
+    "comments and forms": (f"<body><div class=post><p>{P1}</p><p>{P2}</p></div><div id=comments-area><h3>2 comments</h3><div class=comment-body><p>{P1}</p></div><div class=comment-body><p>{P2}</p></div></div><form><p>{P1}</p></form>", [P1, P2]),
+    "code with comments": (f"<article><p>{P1}</p><pre><span class='hljs-comment'># why</span> x <span class='token comment'>; so</span></pre><p>{P2}</p></article>", [P1, "# why x ; so", P2]),
+    "references and entities": (f"<article><h1>A &amp; B &lt;c&gt; &#8212; &eacute;&nbsp;d</h1><p>{P1}</p><p>{P2}</p><ol><li><a href=/>A source</a></ol></article>", ["A & B <c> \u2014 \u00e9 d", P1, P2, "A source"]),
+    "sidebars of any name": (f"<body><div class=acme-sidebar><p>{P1}</p></div><div id=leftNav><p>x, y, z</p></div><div class='cookie-bar'>{P2}</div><section><h2>H</h2><p>{P1}</p><p>{P2}</p></section><div class='widget-area'>w</div><div class=ad-300x250>b</div>", ["H", P1, P2]),
+    "bare text": (f"<body>{P1}<br>on<hr>{P2}", [f"{P1} on", P2]),
+    "broken markup": (f"<body><div class=menu><ul><li><a href=/>x</a></div><article><p>{P1}<p>{P2}</b></i></div><p>more<!-- <p>no</p> --></article><footer>f", [P1, P2, "more"]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_main_text_of_page_shapes(shape):
+    page, want = SHAPES[shape]
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_nesting_has_no_depth_limit():
+    deep = 700
+    page = "<div>" * deep + f"<nav><a href=/>Menu</a> words, here</nav><form><p>field</p></form><p>{P1}</p><div class=sidebar><p>side</p></div><p>{P2}</p>" + "</div>" * deep + "<footer>f</footer>"
+    assert html_text.main_text(page) == f"{P1}\n{P2}"
+    import time
+
+    start = time.perf_counter()
+    for part in ("<div>", "<div>a, b ", "<div class=sidebar>a", "<div class=sidebar><p class=menu>a</p>", "<ul><li>a", "<p>", "<span class=ad>", "<b>a", "<table><tr><td>a", "<form>a<article>"):
+        html_text.main_text(part * 40_000)
+    assert time.perf_counter() - start < 60  # linear: some seconds
+
+
 # ---- 8 toxicity
 
 
