@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -62,21 +62,25 @@ class Chain:
     def __post_init__(self) -> None:
         self._known: dict[str, tuple[int, ...]] = {}
 
-    def present(self, text: str) -> list[int]:
-        """Indexes of the chain's terms in a text."""
-        found: set[int] = set()
+    def found(self, text: str, name: Callable[[str], object]) -> set:
+        """The chain's terms in a text, by the same `name` at each call."""
+        found: set = set()
         known, get = self._known, self.terms.get
         for w in set(LETTERS.findall(text.lower())):
             at = known.get(w)
             if at is None:
-                at = tuple(i for t in _of_word(w) if (i := get(t)) is not None)
+                at = tuple(name(t) for t in _of_word(w) if get(t) is not None)
                 if len(known) >= 300_000:
                     known.clear()
                 if len(w) < 40:
                     known[w] = at
             if at:
                 found.update(at)
-        return sorted(found)
+        return found
+
+    def present(self, text: str) -> list[int]:
+        """Indexes of the chain's terms in a text."""
+        return sorted(self.found(text, self.terms.__getitem__))
 
     def probabilities(self, text: str) -> list[float]:
         if not self.weights:
@@ -169,6 +173,29 @@ def _gain(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     return F.when((pos >= 3) & (times > 5), pos * F.log(times)).otherwise(0.0)
 
 
+def _counted(rows: DataFrame, only) -> DataFrame:
+    """term and n0, n1, ...: the rows of each fold that hold it, of the terms in the broadcast set `only` if given."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[str, int]] = Counter()
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*seen, strict=True)) if seen else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, seen.values()), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["term", "fold", "n"])
+
+        chain = None if only is None else Chain(dict.fromkeys(only.value, 0))
+        for batch in batches:
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((t, fold) for t in (terms(text) if chain is None else chain.found(text, str)))
+                if len(seen) >= COUNTED:
+                    yield told()
+                    seen.clear()
+        yield told()
+
+    counted = rows.select("__text", "__fold").mapInArrow(count, "term string, fold int, n bigint")
+    return counted.groupBy("term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fits the chain on at most `sample` rows of labels (doc_id, toxic) that have a text.
 
@@ -182,31 +209,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "__text", "__toxic", "__fold")  # bounded by `sample`
     sizes = {(r["__fold"], r["__toxic"] == 1): r["n"] for r in rows.groupBy("__fold", (F.col("__toxic") == 1).cast("int").alias("__toxic")).agg(F.count("*").alias("n")).collect()}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int, int]] = Counter()
-
-        def told() -> pa.RecordBatch:
-            columns = list(zip(*seen, strict=True)) if seen else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, seen.values()), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["term", "fold", "toxic", "n"])
-
-        for batch in batches:
-            for text, toxic, fold in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                seen.update((t, fold, int(toxic == 1)) for t in terms(text))
-                if len(seen) >= COUNTED:
-                    yield told()
-                    seen.clear()
-        yield told()
-
-    counted = rows.select("__text", "__toxic", "__fold").mapInArrow(count, "term string, fold int, toxic int, n bigint")
-    both = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{y}{f}") for y in (0, 1) for f in range(FOLDS)]
-
-    def gain(without: int | None) -> Column:
+    def gain(without: int | None, neg: Callable[[int], Column]) -> Column:
         own = [f for f in range(FOLDS) if f != without]
-        neg, pos = (sum((F.col(f"n{y}{f}") for f in own), F.lit(0)) for y in (0, 1))
-        return _gain(pos, neg, *(sum(sizes.get((f, y), 0) for f in own) for y in (True, False)))
-
-    sets = F.array(*[gain(f) >= GAIN for f in [*range(FOLDS), None]])
-    found = counted.groupBy("term").agg(*both).select("term", sets.alias("sets")).where(F.array_contains("sets", True)).orderBy("term").collect()
+        pos, others = (sum((n(f) for f in own), F.lit(0)) for n in (lambda f: F.col(f"n{f}"), neg))
+        return _gain(pos, others, *(sum(sizes.get((f, y), 0) for f in own) for y in (True, False)))
+
+    # terms that would gain enough if no other row held them, and then what the other rows say of these
+    most = F.greatest(*[gain(f, lambda _: F.lit(0)) for f in [*range(FOLDS), None]])
+    toxic = _counted(rows.where("__toxic = 1"), None).where(most >= GAIN)
+    hopeful = docs.sparkSession.sparkContext.broadcast({r["term"] for r in toxic.select("term").collect()})  # of `sample` rows
+    if not hopeful.value:
+        return Chain({})
+    others = _counted(rows.where("__toxic <> 1"), hopeful).select(F.col("term").alias("other"), *[F.col(f"n{f}").alias(f"m{f}") for f in range(FOLDS)])
+    both = toxic.join(others, F.col("term") == F.col("other"), "left").fillna(0, [f"m{f}" for f in range(FOLDS)])
+    sets = F.array(*[gain(f, lambda k: F.col(f"m{k}")) >= GAIN for f in [*range(FOLDS), None]])
+    found = both.select("term", sets.alias("sets")).where(F.array_contains("sets", True)).orderBy("term").collect()
     if not found:
         return Chain({})
     names = [r["term"] for r in found]
