@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagemill.functions import urls as u
+from pagemill.session import checkpointed
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -27,16 +28,6 @@ def scope_reason(link: Column, allow=(), block=(), seed_hosts=(), trees=()) -> C
     return out
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Ends the lineage in the folder that all executors share; a local one is made only where the session names none."""
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-"))
-    return rows.checkpoint()
-
-
 def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int = 0, dead: DataFrame | None = None) -> DataFrame:
     """node and smallest depth of what the seeds reach along edges (src, dst); max_depth 0 goes on until nothing is new.
 

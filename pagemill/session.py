@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,3 +21,33 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         context._pagemill = str(target)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    Where the session names none, a local folder is made if all runs on this machine (as in tests); a cluster is refused.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="pagemill-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows with their lineage ended by a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the optimizer's size estimate of the plan behind it, and joins multiply such estimates: over the
+    rounds of an iteration they grow to numbers of millions of digits, which cost the driver more than all else. So the
+    checkpoint's rows are taken up as a new source without an estimate.
+    """
+    spark = rows.sparkSession
+    shared_dir(spark)
+    done = rows.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
