@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.session import ship
+from pagemill.session import checkpointed as cut, shared_dir, ship
 
 #: Stands in for a null document id where ids are compared: such rows come after every other.
 NO_ID = 2**63 - 1
 
+__all__ = ["NO_ID", "cut", "shards", "shared_dir", "slices", "table", "utf8"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) is a local one made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="pagemill-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shards(spark: SparkSession) -> int:
     """How many shards the keyed exchanges use: what the cluster's owner sized the shuffles for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
