@@ -397,7 +397,7 @@ def _sets(nodes: DataFrame, asked: DataFrame, docs: DataFrame, words: int, text:
                 sets = [shingles(x or b"", words) for x in utf8(part.column(1))]
                 yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "items"])
 
-    made = docs.select(F.xxhash64(*docs.columns).alias("h"), F.col(text).cast("string").alias("text")).mapInArrow(run, "node bigint, items binary")
+    made = docs.select(F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias("h"), F.col(text).cast("string").alias("text")).mapInArrow(run, "node bigint, items binary")
     return made.dropDuplicates(["node"])
 
 
@@ -449,7 +449,8 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
                 columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), part.column(0)]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "prefix", "sketch", "row"])
 
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*docs.columns).alias("h"))
+    every = [f"`{c}`" for c in docs.columns]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*every).alias("h"))
     source = docs.select(order.alias("row"), F.col(text).cast("string").alias("__text"))
     signed = source.mapInArrow(sign, StructType([*_NODE.fields, source.schema["row"]]))
     nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")], F.min("row").alias("row")))
@@ -462,6 +463,6 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     near = components(links.unionByName(more))
     named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__n"), F.col("row.i").alias("__i"), F.col("row.h").alias("__h"))
-    rows = docs.withColumn("__hash", F.xxhash64(*docs.columns))
-    kept = rows.join(first, (F.col("__hash") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64(*every).alias("hash")).select("doc", F.col("doc_id").alias("id"), "hash")
+    kept = packed.join(first, (F.col("hash") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__i")), "left_semi")
+    return kept.dropDuplicates(["id", "hash"]).select("doc.*")
