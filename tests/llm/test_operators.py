@@ -568,20 +568,17 @@ def near_copies(seed=11):
     return texts
 
 
-def similar(one, two):
-    sets = []
-    for text in (one, two):
-        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
-        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+def five_words(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
 
 
 def firsts(texts):
     """Positions of the first text of each group of all pairs at 0.8 or more."""
-    group = list(range(len(texts)))
-    for j in range(len(texts)):
-        for i in range(j):
-            if group[i] != group[j] and similar(texts[i], texts[j]) >= 0.8:
+    group, sets = list(range(len(texts))), [five_words(t) for t in texts]
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if group[i] != group[j] and len(a & b) >= 0.8 * len(a | b):
                 old, new = max(group[i], group[j]), min(group[i], group[j])
                 group = [new if g == old else g for g in group]
     return {i for i, g in enumerate(group) if g == i}
