@@ -233,7 +233,8 @@ def _name(h: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64))
 
 
-_NODE = StructType([StructField("node", LongType()), StructField("n", IntegerType()), StructField("prefix", BinaryType()), StructField("sketch", BinaryType())])
+_NODE = StructType([StructField("node", LongType()), StructField("n", IntegerType()), StructField("low", IntegerType()), StructField("high", IntegerType()), StructField("prefix", BinaryType()), StructField("sketch", BinaryType())])
+_ROW = "bucket bigint, node bigint, n int, low int, high int, place int"
 
 
 class _Rule:
@@ -292,44 +293,64 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """bucket, node, n, place: the rows of buckets (shingles of prefixes) with two sets at least."""
+    """bucket, node, n, low, high, place: the rows of buckets (shingles of prefixes) with two sets at least."""
+    names = ["bucket", "node", "n", "low", "high", "place"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "prefix", 1 << 18):
-                keys = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                keys = [np.frombuffer(x, np.int64) for x in part.column(4).to_pylist()]
                 sizes = [len(x) for x in keys]
-                columns = [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), sizes), np.repeat(part.column(1).to_numpy(), sizes), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["bucket", "node", "n", "place"])
+                columns = [np.concatenate(keys), *(np.repeat(part.column(k).to_numpy(), sizes) for k in range(4)), np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _groups(batches):
             same = columns[0][1:] == columns[0][:-1]
             keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=["bucket", "node", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
 
-    schema = "bucket bigint, node bigint, n int, place int"
-    rows = nodes.select("node", "n", "prefix").mapInArrow(spread, schema)
-    return rows.repartition(shards(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "n").mapInArrow(several, schema)
+    schema = _ROW
+    rows = nodes.select("node", "n", "low", "high", "prefix").mapInArrow(spread, schema)
+    return rows.repartition(shards(nodes.sparkSession), "bucket").sortWithinPartitions("bucket", "n", "node").mapInArrow(several, schema)
 
 
 def _candidates(rows: DataFrame, rule: _Rule, near: int | None) -> DataFrame:
-    """u, v: pairs of a bucket that can be alike; of the next `near` sets by size, or all of different components."""
+    """u, v: pairs of a bucket that can be alike: all of different components, or, if `near` is given, each set with the
+    next `near` in three orders, by size, by the lowest and by the highest shingle hash, and with `near` hubs.
+
+    Sets that are alike have the same lowest hash with the probability of their similarity. A hub is a set with few rare
+    shingles, so the bucket's shingle has an early place in its order: of a group of near copies the least changed one,
+    which is like most others. So a large group is linked by a number of pairs in proportion to its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node, place, component in _groups(batches):
+        for key, n, node, place, component, low, high in _groups(batches):
             n, place, us, vs = n.astype(np.int64), place.astype(np.int64), [], []
 
             def pairs(a: np.ndarray, b: np.ndarray) -> None:
-                ok = rule.possible(n[a], n[b], place[a], place[b]) & (component[a] != component[b])  # noqa: B023
+                small, large = np.where(n[a] <= n[b], a, b), np.where(n[a] <= n[b], b, a)  # noqa: B023
+                ok = rule.possible(n[small], n[large], place[small], place[large]) & (component[a] != component[b])  # noqa: B023
                 a, b = node[a[ok]], node[b[ok]]  # noqa: B023
                 us.append(np.minimum(a, b))  # noqa: B023
                 vs.append(np.maximum(a, b))  # noqa: B023
 
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
-            few = np.repeat((sizes <= FEW) | (near is not None), sizes)
-            for gap in range(1, min(FEW if near is None else near + 1, len(key))):
+            if near is not None:
+                for order in (np.arange(len(key)), np.lexsort((node, n, low, key)), np.lexsort((node, n, high, key))):
+                    for gap in range(1, min(near + 1, len(key))):
+                        one, two = order[:-gap], order[gap:]
+                        same = key[one] == key[two]
+                        pairs(one[same], two[same])
+                central, first = np.lexsort((node, n, place, key)), np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+                for hub in range(near):
+                    at = first[of] + hub
+                    some = np.flatnonzero(at < np.append(first[1:], len(key))[of])
+                    pairs(some, central[at[some]])
+            few = np.repeat((sizes <= FEW) & (near is None), sizes)
+            for gap in range(1, min(FEW if near is None else 1, len(key))):
                 pairs(i := np.flatnonzero(few[:-gap] & (key[:-gap] == key[gap:])), i + gap)
             for g in np.flatnonzero(sizes > FEW) if near is None else ():
                 end = starts[g] + sizes[g]
@@ -344,7 +365,7 @@ def _candidates(rows: DataFrame, rule: _Rule, near: int | None) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
 
-    return rows.select("bucket", "n", "node", "place", "component").mapInArrow(run, "u bigint, v bigint").distinct()
+    return rows.select("bucket", "n", "node", "place", "component", "low", "high").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _sketch(h: np.ndarray) -> bytes:
@@ -428,7 +449,8 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     The shingles have one order for all sets, rare ones first. Sets that are alike share one of the first shingles
     of both (prefix filtering), so the buckets of these hold every pair; sizes, places and parity sketches rule out
     only pairs that cannot be alike, and the rest is compared by the sets. First each set meets its next in size in a
-    bucket; then all pairs of a bucket that these links leave in different components.
+    bucket, and in two orders by a hash of the set; then all pairs of a bucket that these links leave in different
+    components.
     """
     rule = _Rule(similarity)
     hot, counts = _hot(docs, words, text)
@@ -436,29 +458,31 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", 1 << 20):
-                names, sizes, prefixes, sketches = [], [], [], []
+                names, sizes, lows, highs, prefixes, sketches = [], [], [], [], [], []
                 for x in utf8(part.column(1)):
                     h = shingles(x or b"", words)
                     names.append(_name(h))
                     sizes.append(len(h))
+                    lows.append(int(h[0] >> np.uint64(33)))
+                    highs.append(int(h[-1] >> np.uint64(1) & np.uint64(0x7FFFFFFF)))
                     sketches.append(_sketch(h))
                     if len(hot):
                         at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                         h = h[np.lexsort((h, np.where(hot[at] == h, counts[at], 0)))]
                     prefixes.append(h[: rule.prefix(len(h))].tobytes())
-                columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), part.column(0)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "prefix", "sketch", "row"])
+                columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), part.column(0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "low", "high", "prefix", "sketch", "row"])
 
     every = [f"`{c}`" for c in docs.columns]
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*every).alias("h"))
     source = docs.select(order.alias("row"), F.col(text).cast("string").alias("__text"))
     signed = source.mapInArrow(sign, StructType([*_NODE.fields, source.schema["row"]]))
-    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "sketch")], F.min("row").alias("row")))
+    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "prefix", "sketch")], F.min("row").alias("row")))
     rows = cut(_shared(nodes))
     links = _alike(_bounded(_candidates(rows.withColumn("component", F.col("node")), rule, 2), nodes, rule), nodes, docs, words, rule, text)
     joined = components(links)
-    apart = rows.join(joined, "node", "left").select("bucket", "n", "node", "place", F.coalesce("component", "node").alias("component"))
-    apart = apart.repartition(shards(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "n")
+    apart = rows.join(joined, "node", "left").select("bucket", "n", "node", "place", F.coalesce("component", "node").alias("component"), "low", "high")
+    apart = apart.repartition(shards(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "n", "node")
     more = _alike(_bounded(_candidates(apart, rule, None), nodes, rule), nodes, docs, words, rule, text)
     near = components(links.unionByName(more))
     named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
