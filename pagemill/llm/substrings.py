@@ -5,10 +5,10 @@ Whether a window is repeated is settled level by level: windows of half the leng
 are repeated in another document are extended to twice that length. Of the half-length windows only the
 minimizers (the lowest hash in each full window) are asked about: equal full windows have equal minimizers, so a full
 window whose minimizer is not repeated cannot be either. A level's hashes come from the last level's by pairing a
-window with the one that follows it (or overlaps it, where the target is no power of two); words are hashed with XXH3.
+window with the one that follows it (or overlaps it, where the target is no power of two).
 
-These hashes only decide what is extended. A full window is known by the 128 bits of the BLAKE2b digest of its words,
-so windows count as equal if their words are.
+These hashes only decide what is extended. A full window is known by the 128 bits of the XXH3 digest of its words'
+bytes, so windows count as equal if their words are.
 
 The levels end at `window`: a longer repeat is covered by its windows of that length, so extending further would
 remove no other word. A level without survivors sends nothing.
@@ -17,7 +17,6 @@ remove no other word. A level without survivors sends nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,10 @@ from .shards import bounds, dealt, folded, minimizers, mix, pair, rows_of
 #: Text bytes hashed at a time.
 SLICE = 1 << 18
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Keeps the first bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ENTRIES = "key int, shard int, kind int, keys binary, checks binary, ids binary, several binary"
 _ANSWERS = "shard int, key int, kind int, mask binary, ids binary"
 
@@ -38,12 +41,21 @@ class Words:
     """The words of some documents and the hashes of their windows of half the length."""
 
     def __init__(self, texts: list[bytes], window: int):
-        split = [x.split() for x in texts]
-        self.words = [w for x in split for w in x]
-        self.n = len(self.words)
-        self.first = np.cumsum([0, *map(len, split)])  # where each document's words start
+        self.raw = b" ".join([b"", *texts, b" " * 16])
+        data = np.frombuffer(self.raw, np.uint8)
+        space = _SPACE[data]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        self.starts, self.ends = starts, ends = edges[::2], edges[1::2]
+        self.n = len(starts)
+        self.first = np.searchsorted(starts, np.cumsum([1, *(len(x) + 1 for x in texts)]))  # each document's first word
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        h = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, self.n))
+        self.odd = np.cumsum(np.concatenate([[0], (starts[1:] - ends[:-1] != 1) | (data[ends[:-1]] != 32)]))  # gaps but one space
+        eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=self.raw, strides=(1,))
+        size = ends - starts
+        h = pair(eight[starts] & _FIRST[np.minimum(size, 8)], eight[starts + 8 - (size < 8) * 8] & _FIRST[np.clip(size - 8, 0, 8)])
+        h = mix(h + size.astype(np.uint64))
+        long = np.flatnonzero(size > 16)
+        h[long] = [xxhash.xxh3_64_intdigest(self.raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
         self.window, half = window, (window + 1) // 2
         length = 1
         while length < half:  # doubling, the last step overlapping
@@ -63,9 +75,11 @@ class Words:
 
     def extended(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The digests of the full windows at the given positions, in two halves."""
-        words, window = self.words, self.window
-        raw = b"".join([blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in at.tolist()])
-        halves = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        last, raw = at + self.window - 1, self.raw
+        plain = self.odd[last] == self.odd[at]
+        cut = zip(self.starts[at].tolist(), self.ends[last].tolist(), plain.tolist(), strict=True)
+        digests = b"".join([xxhash.xxh3_128_digest(raw[a:b] if one else b" ".join(raw[a:b].split())) for a, b, one in cut])
+        halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
         return halves[:, 0].copy(), halves[:, 1].copy()
 
 
@@ -88,17 +102,19 @@ def _first_level(table: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, several
 
 
-def _second_level(table: pa.Table, window: int, keys: np.ndarray, alive: np.ndarray):
-    """Distinct full windows whose minimizer is alive, with check, smallest id and whether several documents have it."""
-    found, checks, owners = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+def _alive_windows(table: pa.Table, window: int, keys: np.ndarray, alive: np.ndarray) -> Iterator[tuple]:
+    """By slice of a document shard: places and digests of the full windows whose minimizer is alive, and their owners."""
     for ids, texts in rows_of(table, SLICE):
         w = Words(texts, window)
         at = _candidates(w, keys, alive)
-        a, b = w.extended(at)
-        found.append(a)
-        checks.append(b)
-        owners.append(ids[w.doc[at]])
-    return folded(np.concatenate(found), np.concatenate(owners), np.concatenate(checks))
+        yield at, *w.extended(at), ids[w.doc[at]]
+
+
+def _second_level(windows: list[tuple]):
+    """Distinct full windows with check, smallest id and whether several documents have it."""
+    found = np.concatenate([np.empty(0, np.uint64), *(x[1] for x in windows)])
+    checks = np.concatenate([np.empty(0, np.uint64), *(x[2] for x in windows)])
+    return folded(found, np.concatenate([np.empty(0, np.int64), *(x[3] for x in windows)]), checks)
 
 
 def _candidates(w: Words, keys: np.ndarray, alive: np.ndarray) -> np.ndarray:
@@ -197,7 +213,7 @@ def deduplicate(docs: DataFrame, window: int = 13, key: str = "doc_id", text: st
         if left.num_rows == 0:
             return _empty(_ENTRY_SCHEMA)
         keys, _ = _first_level(left, window)
-        found, checks, low, several = _second_level(left, window, keys, _alive(right, keys, parts))
+        found, checks, low, several = _second_level(list(_alive_windows(left, window, keys, _alive(right, keys, parts))))
         return _entries(left["shard"][0].as_py(), 2, parts, found, checks, low, several)
 
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
@@ -206,15 +222,15 @@ def deduplicate(docs: DataFrame, window: int = 13, key: str = "doc_id", text: st
         if left.num_rows == 0:
             return _empty(schema)
         keys, _ = _first_level(left, window)
-        alive = _alive(right, keys, parts)
-        found, checks, low, _ = _second_level(left, window, keys, alive)
+        windows = list(_alive_windows(left, window, keys, _alive(right, keys, parts)))
+        found, checks, low, _ = _second_level(windows)
         low, edges = low.copy(), bounds(found, parts)
         for at, kind, mask, ids in zip(*(right[c].to_pylist() for c in ("key", "kind", "mask", "ids")), strict=True):
             if kind == 2:
                 a, b = edges[at], edges[at + 1]
                 low[a:b][_unpacked(mask, b - a)] = np.frombuffer(ids, np.int64)
         named = np.rec.fromarrays([found, checks], names="a,b") if len(np.unique(found)) < len(found) else None
-        out = list(_removed(left, window, keys, alive, found, low, named))
+        out = list(_removed(left, window, windows, found, low, named))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     masks = rows.groupBy("shard").applyInArrow(ask, _ENTRIES).groupBy("key").applyInArrow(_repeated, _ANSWERS)
@@ -224,24 +240,22 @@ def deduplicate(docs: DataFrame, window: int = 13, key: str = "doc_id", text: st
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(key), "n_words", "n_removed", "spans", "kept_text")
 
 
-def _removed(table: pa.Table, window: int, keys, alive, found, low, named) -> Iterator[tuple]:
-    for ids, texts in rows_of(table, SLICE):
-        w = Words(texts, window)
-        at = _candidates(w, keys, alive)
-        gone = np.zeros(w.n + 1, np.int64)
+def _removed(table: pa.Table, window: int, windows: list[tuple], found, low, named) -> Iterator[tuple]:
+    for (ids, texts), (at, a, b, owners) in zip(rows_of(table, SLICE), windows, strict=True):
+        split = [x.split() for x in texts]
+        first = np.cumsum([0, *map(len, split)])
+        gone = np.zeros(first[-1] + 1, np.int64)
         if len(at):
-            a, b = w.extended(at)
             if named is None:
                 place = np.searchsorted(found, a)
             else:  # two windows share the first half
                 place = np.searchsorted(named, np.rec.fromarrays([a, b], names="a,b"))
-            hit = at[low[place] < ids[w.doc[at]]]
+            hit = at[low[place] < owners]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + window, -1)
         kept = np.cumsum(gone[:-1]) == 0
-        for i in range(len(texts)):
-            start, end = int(w.first[i]), int(w.first[i + 1])
-            mask, words = kept[start:end], w.words[start:end]
+        for i, words in enumerate(split):
+            mask = kept[first[i] : first[i + 1]]
             spans = []
             if not mask.all():
                 edges = np.flatnonzero(np.diff(np.concatenate([[True], mask, [True]]).astype(np.int8)))

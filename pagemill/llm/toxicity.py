@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices
+from .common import cut, slices
 
 CATEGORIES = ("dense", "severe", "toxic")
 #: Labelled rows used for training at most, and the least gain of a term: its toxic rows times the log of its odds.
 SAMPLE, GAIN = 20_000, 8.0
 FOLDS = 5
 #: Different terms counted before a task hands its counts on.
-COUNTED = 200_000
+COUNTED = 50_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -62,25 +62,21 @@ class Chain:
     def __post_init__(self) -> None:
         self._known: dict[str, tuple[int, ...]] = {}
 
-    def found(self, text: str, name: Callable[[str], object]) -> set:
-        """The chain's terms in a text, by the same `name` at each call."""
-        found: set = set()
+    def present(self, text: str) -> list[int]:
+        """Indexes of the chain's terms in a text."""
+        found: set[int] = set()
         known, get = self._known, self.terms.get
         for w in set(LETTERS.findall(text.lower())):
             at = known.get(w)
             if at is None:
-                at = tuple(name(t) for t in _of_word(w) if get(t) is not None)
-                if len(known) >= 300_000:
+                at = tuple(i for t in _of_word(w) if (i := get(t)) is not None)
+                if len(known) >= 100_000:
                     known.clear()
                 if len(w) < 40:
                     known[w] = at
             if at:
                 found.update(at)
-        return found
-
-    def present(self, text: str) -> list[int]:
-        """Indexes of the chain's terms in a text."""
-        return sorted(self.found(text, self.terms.__getitem__))
+        return sorted(found)
 
     def probabilities(self, text: str) -> list[float]:
         if not self.weights:
@@ -174,25 +170,33 @@ def _gain(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
 
 
 def _counted(rows: DataFrame, only) -> DataFrame:
-    """term and n0, n1, ...: the rows of each fold that hold it, of the terms in the broadcast set `only` if given."""
+    """term and n0, n1, ...: the rows of each fold that hold it; by its number among those of `only`, if that is given."""
+    kind = pa.string() if only is None else pa.int32()
+
+    def told(names, folds, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(folds, pa.int32()), pa.array(n, pa.int64())], names=["term", "fold", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[tuple[str, int]] = Counter()
-
-        def told() -> pa.RecordBatch:
-            columns = list(zip(*seen, strict=True)) if seen else [[], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns, seen.values()), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["term", "fold", "n"])
-
-        chain = None if only is None else Chain(dict.fromkeys(only.value, 0))
         for batch in batches:
             for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((t, fold) for t in (terms(text) if chain is None else chain.found(text, str)))
+                seen.update((t, fold) for t in terms(text))
                 if len(seen) >= COUNTED:
-                    yield told()
+                    yield told([t for t, _ in seen], [f for _, f in seen], list(seen.values()))
                     seen.clear()
-        yield told()
+        yield told([t for t, _ in seen], [f for _, f in seen], list(seen.values()))
+
+    def count_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain(only.value)
+        counts = np.zeros((FOLDS, len(chain.terms)), np.int64)
+        for batch in batches:
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[fold, chain.present(text)] += 1
+        folds, at = np.nonzero(counts)
+        yield told(at.astype(np.int32), folds.astype(np.int32), counts[folds, at])
 
-    counted = rows.select("__text", "__fold").mapInArrow(count, "term string, fold int, n bigint")
+    run, schema = (count, "term string, fold int, n bigint") if only is None else (count_only, "term int, fold int, n bigint")
+    counted = rows.select("__text", "__fold").mapInArrow(run, schema)
     return counted.groupBy("term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)])
 
 
@@ -216,14 +220,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     # terms that would gain enough if no other row held them, and then what the other rows say of these
     most = F.greatest(*[gain(f, lambda _: F.lit(0)) for f in [*range(FOLDS), None]])
-    toxic = _counted(rows.where("__toxic = 1"), None).where(most >= GAIN)
-    hopeful = docs.sparkSession.sparkContext.broadcast({r["term"] for r in toxic.select("term").collect()})  # of `sample` rows
-    if not hopeful.value:
+    toxic = cut(_counted(rows.where("__toxic = 1"), None).where(most >= GAIN))
+    hopeful = [r["term"] for r in toxic.select("term").orderBy("term").collect()]  # of the toxic rows of `sample`
+    if not hopeful:
         return Chain({})
-    others = _counted(rows.where("__toxic <> 1"), hopeful).select(F.col("term").alias("other"), *[F.col(f"n{f}").alias(f"m{f}") for f in range(FOLDS)])
-    both = toxic.join(others, F.col("term") == F.col("other"), "left").fillna(0, [f"m{f}" for f in range(FOLDS)])
+    only = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(hopeful)})
+    others = _counted(rows.where("__toxic <> 1"), only).select(F.col("term").alias("number"), *[F.col(f"n{f}").alias(f"m{f}") for f in range(FOLDS)])
+    numbered = docs.sparkSession.createDataFrame(pa.table({"number": pa.array(range(len(hopeful)), pa.int32()), "name": hopeful}))
+    both = toxic.join(numbered, F.col("term") == F.col("name")).join(others, "number", "left").fillna(0, [f"m{f}" for f in range(FOLDS)])
     sets = F.array(*[gain(f, lambda k: F.col(f"m{k}")) >= GAIN for f in [*range(FOLDS), None]])
     found = both.select("term", sets.alias("sets")).where(F.array_contains("sets", True)).orderBy("term").collect()
+    only.unpersist()
     if not found:
         return Chain({})
     names = [r["term"] for r in found]
