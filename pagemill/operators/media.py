@@ -18,84 +18,65 @@ def with_profiles(items: DataFrame, profiles: DataFrame) -> DataFrame:
     return items.join(p, host == F.col("__p"), "left").join(own, u.host(F.col("url")) == F.col("__o"), "left").drop("__p", "__o")
 
 
-def _joined(*parts: str) -> Column:
-    return F.lower(F.concat_ws(" ", *parts))
+def judged(items: DataFrame, words: list[str], cdn_hosts=()) -> DataFrame:
+    """Adds score and reason (the first rule that rejects an item; null keeps it) to images and videos with profiles.
 
-
-def _off_subject(words: list[str], cdn_hosts, *parts: str) -> Column:
-    """An item on a listing page whose own texts don't hold the subject."""
-    listed = u.is_archive(F.col("source_page"), F.col("page_title"))
-    return listed & ~u.in_hosts(u.host(F.col("url")), cdn_hosts) & ~t.has_subject(_joined(*parts), words)
-
-
-def image_score(words: list[str], cdn_hosts=()) -> Column:
-    everything = _joined("url", "source_page", "alt_text", "page_title")
-    small = F.col("url").rlike(r"(?i)(?:^|[?&])(width|height|w|h)=\d{1,3}(?:$|&)")
+    Texts, flags and penalties that several rules share are made once, stage by stage, as columns. Items without a
+    column in_layout stand in no layout container.
+    """
+    url, image = F.col("url"), F.col("kind") == "image"
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
-    return (
-        t.subject_score(everything, words)
-        + points(F.col("alt_text") != "", 1)
-        + points(F.col("page_title") != "", 1)
-        - points(u.any_of(everything, v.GENERIC_TERMS), 3)
-        - points(u.any_of(everything, v.PLACEHOLDER_TERMS), 4)
-        - t.preview_penalty(everything)
-        + points(u.any_of(everything, v.IMAGE_WORDS), 1)
-        + points(u.is_image(F.col("url")), 2)
+    layout = F.coalesce("in_layout", F.lit(False)) if "in_layout" in items.columns else F.lit(False)
+    rows = items.withColumns({"__type": F.coalesce(u.video_type(url), F.lit("")), "__layout": layout})
+    rows = rows.withColumns({
+        "__text": F.lower(F.concat_ws(" ", url, "source_page", F.when(image, F.col("alt_text")).otherwise(F.col("__type")), "page_title")),
+        "__own": F.lower(F.when(image, F.concat_ws(" ", url, "alt_text")).otherwise(url)),
+        "__high": u.high_resolution(url),
+    })
+    listed = u.is_archive(F.col("source_page"), F.col("page_title"))
+    rows = rows.withColumns({
+        "__penalty": t.preview_penalty(F.when(image, F.col("__text")).otherwise(F.lower(url))),
+        "__subject": t.has_subject(F.col("__text"), words),
+        "__placeholder": u.any_of(F.col("__text"), v.PLACEHOLDER_TERMS),
+        "__off": listed & ~u.in_hosts(u.host(url), cdn_hosts) & ~t.has_subject(F.col("__own"), words),  # on a listing page, without the subject
+    })
+    text, penalty = F.col("__text"), F.col("__penalty")
+    small = url.rlike(r"(?i)(?:^|[?&])(width|height|w|h)=\d{1,3}(?:$|&)")
+    both = t.subject_score(text, words) + points(F.col("page_title") != "", 1) - penalty - points(F.col("__layout"), 20) - points(F.col("__off"), 15)
+    of_image = (
+        points(F.col("alt_text") != "", 1)
+        - points(u.any_of(text, v.GENERIC_TERMS), 3)
+        - points(F.col("__placeholder"), 4)
+        + points(u.any_of(text, v.IMAGE_WORDS), 1)
+        + points(u.is_image(url), 2)
         - points(small, 3)
         - points(F.col("width") < 300, 20)
         - points(F.col("height") < 300, 20)
         + points(F.col("expected") == "image", 3)
-        - points(_off_subject(words, cdn_hosts, "url", "alt_text"), 15)
     )
-
-
-def video_score(words: list[str], cdn_hosts=()) -> Column:
-    kind = F.coalesce(u.video_type(F.col("url")), F.lit(""))
-    everything = F.lower(F.concat_ws(" ", "url", "source_page", kind, "page_title"))
-    points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
-    return (
-        t.subject_score(everything, words)
-        + points(F.col("page_title") != "", 1)
-        + points(kind.isin(*v.VIDEO_TYPES), 2)
-        + points(u.any_of(everything, v.VIDEO_WORDS), 1)
-        + points(u.is_video(F.col("url")), 2)
-        - t.preview_penalty(F.lower("url"))
-        - points(t.preview_penalty(_joined("source_page", "page_title")) >= 4, 2)
+    of_video = (
+        points(F.col("__type").isin(*v.VIDEO_TYPES), 2)
+        + points(u.any_of(text, v.VIDEO_WORDS), 1)
+        + points(u.is_video(url), 2)
+        - points(t.preview_penalty(F.lower(F.concat_ws(" ", "source_page", "page_title"))) >= 4, 2)
         + points(F.col("expected") == "video", 3)
-        - points(_off_subject(words, cdn_hosts, "url"), 15)
     )
-
-
-def image_reason(words: list[str], cdn_hosts=()) -> Column:
-    """First rule that rejects an image; null keeps it."""
-    url, everything = F.col("url"), _joined("url", "source_page", "alt_text", "page_title")
-    thumb = F.coalesce(F.expr("regexp_like(url, pattern)"), F.lit(False)) | F.coalesce(F.expr("regexp_like(url, own_pattern)"), F.lit(False))
-    listed = _off_subject(words, cdn_hosts, "url", "alt_text") & (u.high_resolution(url) == url)
-    return (
-        F.when(thumb, "preview_or_thumbnail")
-        .when(F.col("expected") == "video", "wrong_media_type_for_domain")
-        .when((F.col("width") < 300) | (F.col("height") < 300), "low_resolution")
-        .when(listed, "low_subject_relevance")
-        .when(u.any_of(everything, v.UTILITY_TERMS), "generic_asset")
-        .when(u.any_of(everything, v.PLACEHOLDER_TERMS), "placeholder_asset")
-        .when(t.preview_penalty(everything) >= 6, "preview_or_thumbnail")
-        .when(u.has_small_parameter(url, 300) | u.has_small_path(url, 300, 250), "low_resolution_hint")
-        .when(~t.has_subject(everything, words), "low_subject_relevance")
-        .when(image_score(words, cdn_hosts) < 1, "low_score")
-    )
-
-
-def video_reason(words: list[str], cdn_hosts=()) -> Column:
-    kind = F.coalesce(u.video_type(F.col("url")), F.lit(""))
-    everything = F.lower(F.concat_ws(" ", "url", "source_page", kind, "page_title"))
-    return (
-        F.when(F.col("expected") == "image", "wrong_media_type_for_domain")
-        .when(_off_subject(words, cdn_hosts, "url"), "low_subject_relevance")
-        .when(u.any_of(everything, v.PLACEHOLDER_TERMS), "placeholder_asset")
-        .when(t.preview_penalty(F.lower("url")) >= 6, "preview_or_thumbnail")
-        .when(~t.has_subject(everything, words), "low_subject_relevance")
-        .when(video_score(words, cdn_hosts) < 1, "low_score")
+    rows = rows.withColumn("score", both + F.when(image, of_image).otherwise(of_video))
+    matches = lambda pattern: F.coalesce(F.expr(f"regexp_like(url, {pattern})"), F.lit(False))
+    reason = (
+        F.when(image & (matches("pattern") | matches("own_pattern")), "preview_or_thumbnail")
+        .when(F.col("expected") == F.when(image, "video").otherwise("image"), "wrong_media_type_for_domain")
+        .when(F.col("__layout"), "layout_decoration")
+        .when(image & ((F.col("width") < 300) | (F.col("height") < 300)), "low_resolution")
+        .when(F.col("__off") & (~image | (F.col("__high") == url)), "low_subject_relevance")
+        .when(image & u.any_of(text, v.UTILITY_TERMS), "generic_asset")
+        .when(F.col("__placeholder"), "placeholder_asset")
+        .when(penalty >= 6, "preview_or_thumbnail")
+        .when(image & (u.has_small_parameter(url, 300) | u.has_small_path(url, 300, 250)), "low_resolution_hint")
+        .when(~F.col("__subject"), "low_subject_relevance")
+        .when(F.col("score") < 1, "low_score")
     )
+    return rows.withColumn("reason", reason).select(*items.columns, "score", "reason")
 
 
 def first_per_key(rows: DataFrame, key: Column | str, seq: str = "seq") -> DataFrame:

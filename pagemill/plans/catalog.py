@@ -141,21 +141,21 @@ S_IMAGE_SCORE = " ".join((
     "CAST(", points(f"contains({_ALL}, 'subject')", 2), "+", points("alt_text <> ''", 1), "+", points("page_title <> ''", 1), "-", points(s_any(_ALL, v.GENERIC_TERMS), 3),
     "-", points(s_any(_ALL, v.PLACEHOLDER_TERMS), 4), "-", s_penalty(_ALL), "+", points(s_any(_ALL, v.IMAGE_WORDS), 1), "+", points(s_image("url"), 2),
     "-", points("regexp_matches(url, '(?i)(?:^|[?&])(width|height|w|h)=\\d{1,3}(?:$|&)')", 3), "-", points("width < 300", 20), "-", points("height < 300", 20),
-    "+", points("expected = 'image'", 3), "-", points(s_off("url", "alt_text"), 15), "AS INTEGER)",
+    "-", points("in_layout", 20), "+", points("expected = 'image'", 3), "-", points(s_off("url", "alt_text"), 15), "AS INTEGER)",
 ))
 S_VIDEO_SCORE = " ".join((
     "CAST(", points(f"contains({_VALL}, 'subject')", 2), "+", points("page_title <> ''", 1), "+", points(f"{s_video_type('url')} IS NOT NULL", 2), "+", points(s_any(_VALL, v.VIDEO_WORDS), 1),
-    "+", points(s_video("url"), 2), "-", s_penalty("lower(url)"), "-", points(s_penalty("lower(source_page || ' ' || page_title)") + " >= 4", 2),
+    "+", points(s_video("url"), 2), "-", points("in_layout", 20), "-", s_penalty("lower(url)"), "-", points(s_penalty("lower(source_page || ' ' || page_title)") + " >= 4", 2),
     "+", points("expected = 'video'", 3), "-", points(s_off("url"), 15), "AS INTEGER)",
 ))
 S_IMAGE_REASON = (
-    f"CASE WHEN coalesce(regexp_matches(url, pattern), false) OR coalesce(regexp_matches(url, own_pattern), false) THEN 'preview_or_thumbnail' WHEN expected = 'video' THEN 'wrong_media_type_for_domain' "
+    f"CASE WHEN coalesce(regexp_matches(url, pattern), false) OR coalesce(regexp_matches(url, own_pattern), false) THEN 'preview_or_thumbnail' WHEN expected = 'video' THEN 'wrong_media_type_for_domain' WHEN in_layout THEN 'layout_decoration' "
     f"WHEN width < 300 OR height < 300 THEN 'low_resolution' WHEN {s_off('url', 'alt_text')} AND {s_highres('url')} = url THEN 'low_subject_relevance' WHEN {s_any(_ALL, v.UTILITY_TERMS)} THEN 'generic_asset' "
     f"WHEN {s_any(_ALL, v.PLACEHOLDER_TERMS)} THEN 'placeholder_asset' WHEN {s_penalty(_ALL)} >= 6 THEN 'preview_or_thumbnail' WHEN {s_small_parameter('url', 300)} OR {s_small_path('url', 300, 250)} THEN 'low_resolution_hint' "
     f"WHEN NOT contains({_ALL}, 'subject') THEN 'low_subject_relevance' WHEN {S_IMAGE_SCORE} < 1 THEN 'low_score' END"
 )
 S_VIDEO_REASON = (
-    f"CASE WHEN expected = 'image' THEN 'wrong_media_type_for_domain' WHEN {s_off('url')} THEN 'low_subject_relevance' WHEN {s_any(_VALL, v.PLACEHOLDER_TERMS)} THEN 'placeholder_asset' "
+    f"CASE WHEN expected = 'image' THEN 'wrong_media_type_for_domain' WHEN in_layout THEN 'layout_decoration' WHEN {s_off('url')} THEN 'low_subject_relevance' WHEN {s_any(_VALL, v.PLACEHOLDER_TERMS)} THEN 'placeholder_asset' "
     f"WHEN {s_penalty('lower(url)')} >= 6 THEN 'preview_or_thumbnail' WHEN NOT contains({_VALL}, 'subject') THEN 'low_subject_relevance' WHEN {S_VIDEO_SCORE} < 1 THEN 'low_score' END"
 )
 SCORED = f"{ITEMS}, scored AS (SELECT seq, kind, url, source_page, width, height, CASE WHEN kind = 'image' THEN {S_IMAGE_SCORE} ELSE {S_VIDEO_SCORE} END AS score, CASE WHEN kind = 'image' THEN {S_IMAGE_REASON} ELSE {S_VIDEO_REASON} END AS reason FROM j)"
@@ -167,10 +167,7 @@ def _joined(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     """Every media item with score and reason (null: kept)."""
-    image = F.col("kind") == "image"
-    score = F.when(image, media.image_score(WORDS, CDN)).otherwise(media.video_score(WORDS, CDN))
-    reason = F.when(image, media.image_reason(WORDS, CDN)).otherwise(media.video_reason(WORDS, CDN))
-    return _joined(spark, sf_dir).select("seq", "kind", "url", "source_page", "width", "height", score.alias("score"), reason.alias("reason"))
+    return media.judged(_joined(spark, sf_dir), WORDS, CDN).select("seq", "kind", "url", "source_page", "width", "height", "score", "reason")
 
 
 # ---- URLs of pages
@@ -297,22 +294,22 @@ def video_resolution(spark, sf_dir):
 
 @query(f"WITH {ITEMS} SELECT seq, {S_IMAGE_SCORE} AS score FROM j WHERE kind = 'image'")
 def image_score(spark, sf_dir):
-    return _joined(spark, sf_dir).where("kind = 'image'").select("seq", media.image_score(WORDS, CDN).alias("score"))
+    return _scored(spark, sf_dir).where("kind = 'image'").select("seq", "score")
 
 
 @query(f"WITH {ITEMS} SELECT seq, {S_VIDEO_SCORE} AS score FROM j WHERE kind = 'video'")
 def video_score(spark, sf_dir):
-    return _joined(spark, sf_dir).where("kind = 'video'").select("seq", media.video_score(WORDS, CDN).alias("score"))
+    return _scored(spark, sf_dir).where("kind = 'video'").select("seq", "score")
 
 
 @query(f"WITH {ITEMS} SELECT seq, {S_IMAGE_REASON} AS reason FROM j WHERE kind = 'image'")
 def image_reason(spark, sf_dir):
-    return _joined(spark, sf_dir).where("kind = 'image'").select("seq", media.image_reason(WORDS, CDN).alias("reason"))
+    return _scored(spark, sf_dir).where("kind = 'image'").select("seq", "reason")
 
 
 @query(f"WITH {ITEMS} SELECT seq, {S_VIDEO_REASON} AS reason FROM j WHERE kind = 'video'")
 def video_reason(spark, sf_dir):
-    return _joined(spark, sf_dir).where("kind = 'video'").select("seq", media.video_reason(WORDS, CDN).alias("reason"))
+    return _scored(spark, sf_dir).where("kind = 'video'").select("seq", "reason")
 
 
 @query(f"WITH {ITEMS} SELECT seq, url FROM (SELECT seq, url, row_number() OVER (PARTITION BY {s_canonical('url')} ORDER BY seq) AS n FROM items) WHERE n = 1")

@@ -18,7 +18,8 @@ MEDIA_ITEMS = """SELECT o_orderkey AS seq,
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'subject ' || lower(o_orderpriority) END AS alt_text,
   CASE WHEN o_orderkey % 11 = 0 THEN 'site logo' ELSE 'page ' || CAST(o_orderkey % 500 AS STRING) END AS page_title,
   CAST(50 + o_custkey % 1200 AS INT) AS width,
-  CAST(50 + (o_custkey * 7) % 900 AS INT) AS height
+  CAST(50 + (o_custkey * 7) % 900 AS INT) AS height,
+  o_orderkey % 13 = 0 AS in_layout
 FROM orders"""
 
 PAGE_REPORTS = """SELECT c_custkey AS seq,
