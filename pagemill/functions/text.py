@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import vocab as v
@@ -22,8 +25,6 @@ def tokens(text: Column) -> Column:
 
 def subject_tokens(keyword: str, aliases: tuple[str, ...] = ()) -> list[str]:
     """Distinct normalised words of a keyword and its aliases, in order."""
-    import re
-
     words = (re.sub(r"[^\w]", "", w.lower()) for x in (keyword, *aliases) for w in x.split())
     return list(dict.fromkeys(w for w in words if w))
 
@@ -56,22 +57,44 @@ def windows(text: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
 
 
+_SPACES, _STOP = re.compile(r"\s+", re.ASCII), re.compile(r"(?<=[.!?])\s+", re.ASCII)
+
+
+def packed(text: str | None, size: int, overlap: int) -> list[str] | None:
+    """Chunks of one text, in one pass over its sentences."""
+    if text is None:
+        return None
+    whole = _SPACES.sub(" ", text).strip(" ")
+    if len(whole) <= size:
+        return [whole] if whole else []
+    out: list[str] = []
+    held: list[str] = []
+    length = 0
+    for s in _STOP.split(whole):
+        if held and length + 1 + len(s) > size:
+            out.append(" ".join(held))
+            held, length = [], 0
+        if len(s) > size:
+            out += [s[k : k + size] for k in range(0, len(s), size - overlap)]
+        elif s:
+            length += len(s) + bool(held)
+            held.append(s)
+    return out + [" ".join(held)] if held else out
+
+
 def chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Greedy packing of sentences into chunks of `size` characters; longer sentences are cut into windows."""
-    whole = clean(text)
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def add(state: Column, s: Column) -> Column:
-        joined = F.when(state["open"] == "", s).otherwise(F.concat(state["open"], F.lit(" "), s))
-        closed = F.when(state["open"] == "", state["done"]).otherwise(F.array_append(state["done"], state["open"]))
-        return (
-            F.when(F.length(joined) <= size, F.struct(state["done"].alias("done"), joined.alias("open")))
-            .when(F.length(s) <= size, F.struct(closed.alias("done"), s.alias("open")))
-            .otherwise(F.struct(F.concat(closed, windows(s, size, overlap)).alias("done"), F.lit("").alias("open")))
-        )
-
-    packed = F.aggregate(sentences(text), empty, add, lambda x: F.when(x["open"] == "", x["done"]).otherwise(F.array_append(x["done"], x["open"])))
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.length(whole) <= size, F.array(whole)).otherwise(packed)
+    """Greedy packing of sentences into chunks of `size` characters; longer sentences are cut into windows that overlap.
+
+    A fold of built-in functions would copy the finished chunks for every sentence; this takes each text once.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: packed(x, size, overlap))
+
+    return run(text)
 
 
 def tag_tokens(trigger: str, stem: Column, alt: Column, subject: Column) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlparse, urlunparse
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vocab as v
 
@@ -229,3 +231,65 @@ def without_wildcard(h: Column) -> Column:
 
 def paginated(base: Column, n: Column) -> Column:
     return F.when(F.contains(base, F.lit("{page}")), F.replace(base, F.lit("{page}"), n)).when(base.endswith("/"), F.concat(base, n)).otherwise(F.concat(base, F.lit("?page="), n))
+
+
+def joined(*parts: Column) -> Column:
+    """The parts that are there, with a space between them."""
+    return F.concat_ws(" ", *parts)
+
+
+def absolute(base: Column, link: Column) -> Column:
+    """The link resolved against its page; an empty or null one is the page. Odd links (relative, with dots) need Python."""
+
+    @F.pandas_udf("string")
+    def run(bases: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([b if not x else urljoin(b or "", x) for b, x in zip(bases, links, strict=True)])
+
+    return run(base, link)
+
+
+def _java(replacement: str) -> str:
+    return re.sub(r"\\(\d)", r"$\1", replacement.replace("$", r"\$"))
+
+
+def rewritten(u: Column, rules) -> Column:
+    """Rewrite rules as data: (pattern, replacement) pairs applied in order, without regard to case."""
+    for pattern, replacement in rules:
+        u = F.regexp_replace(u, f"(?i){pattern}", _java(replacement))
+    return u
+
+
+def high_resolution_by(u: Column, groups) -> Column:
+    """high_resolution after the rules of the first host groups: (substrings of the host, (pattern, replacement) pairs)."""
+    p, h = path(u), host(u)
+    for hosts, rules in groups:
+        p = F.when(any_of(h, hosts), rewritten(p, rules)).otherwise(p)
+    return high_resolution(F.concat(F.regexp_extract(u, f"^((?:{SCHEME}:)?(?://[^/?#]*)?)", 1), p, F.regexp_extract(u, r"([?#].*)$", 1)))
+
+
+def _normalized(u: str) -> str:
+    try:
+        parts = urlparse(unquote(u))
+        kept = [(k, x) for k, x in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in v.TRACKING_PARAMETERS]
+        return urlunparse(parts._replace(path=quote(parts.path, safe="/"), query=quote(urlencode(kept), safe="=&%"), fragment=""))
+    except ValueError:
+        return u
+
+
+def normalized(u: Column, rules=()) -> Column:
+    """Canonical form: rewrite rules, all percent-codes decoded, no fragment and no tracking parameters, encoded anew."""
+
+    @F.pandas_udf("string")
+    def run(urls: pd.Series) -> pd.Series:
+        return urls.map(_normalized, na_action="ignore")
+
+    return run(rewritten(F.trim(u), rules))
+
+
+def site_candidates(sites: DataFrame, subject: str, site: str = "site") -> DataFrame:
+    """site, position, url: the usual shapes of a site's pages about a subject; repeated sites once, empty ones none."""
+    name = F.trim(F.col(site))
+    base = F.rtrim(F.when(name.rlike("^https?://"), name).otherwise(F.concat(F.lit("https://"), name)), F.lit("/"))
+    shapes = [F.replace(F.lit(x.replace("{subject}", quote(subject, safe=""))), F.lit("{base}"), base) for x in v.SITE_TEMPLATES]
+    rows = sites.where(F.coalesce(name, F.lit("")) != "").select(base.alias(site), F.posexplode(F.array(*shapes)).alias("position", "url"))
+    return rows.distinct()

@@ -38,6 +38,31 @@ FROM events"""
 
 LINK_EDGES = "SELECT o_orderkey AS seq, o_custkey AS src, (o_orderkey * 31 + 7) % 1500 AS dst FROM orders"
 
+RUNS = """SELECT lpad(CAST(c_custkey AS STRING), 8, '0') AS run_id, 's' || CAST(c_custkey % 9 AS STRING) AS subject,
+  c_custkey % 17 AS images, (c_custkey * 7) % 5 AS videos, c_custkey % 30 AS pages,
+  CASE c_custkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'mixed' END AS expected
+FROM customer"""
+
+_LINKS = ("/somesubject", "/somesubject/Photos", "/othermodel", "/privacy-policy", "/models/l/a/other", "/page/2", "/user/login", "/s/faq", "/post/123", "/tag/somesubject", "/a/99/x", "/somesubject/?page=2", "/tag/other", "/Videos/some", "/videos/x/", "/")
+_SEEDS = ("/somesubject", "/", "/search?q=somesubject", "/start", "/models/somesubject/all/")
+
+#: Links found on seed pages: shapes that meet each of the scope rules.
+SUBJECT_LINKS = f"""SELECT o_orderkey AS seq,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'https://other.com' ELSE 'https://example.com' END || CASE o_custkey % {len(_LINKS)} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_LINKS))} END AS link,
+  'https://example.com' || CASE o_orderkey % {len(_SEEDS)} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SEEDS))} END AS seed,
+  CASE WHEN o_custkey % 7 = 0 THEN 'SomeSubject pictures' ELSE '' END AS anchor
+FROM orders"""
+
+HOST_EVENTS = """SELECT event_id AS seq, CAST(event_id AS DOUBLE) / 4 AS ts, 'h' || CAST(user_id % 60 AS STRING) AS host,
+  CASE WHEN event_id % 97 = 0 THEN 'login_wall' WHEN event_type = 'error' THEN 'rate_limited' WHEN event_type = 'signup' THEN 'error' ELSE 'ok' END AS outcome,
+  CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS BIGINT) AS found
+FROM events"""
+
+LOG = """SELECT event_id AS seq, CASE event_id % 8
+  WHEN 0 THEN '2024-01-01 10:00:00 HTTP Request: GET https://h/' || event_type WHEN 1 THEN 'Fetching page https://h/a.JPG' WHEN 2 THEN 'Downloaded 3 images'
+  WHEN 3 THEN 'downloaded clip.mp4' WHEN 4 THEN 'Request failed' WHEN 5 THEN 'Downloaded ' || event_type WHEN 6 THEN 'status 429' ELSE event_type END AS line
+FROM events"""
+
 #: host, media type, crawl strategy, depth, CDN hosts, page cap, thumbnail pattern
 PROFILES = (
     ("h0.example.com", "image", "direct", None, "cdn.h0.example.com", 120, None),
@@ -81,3 +106,19 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROFILES, "host string, media_type string, crawl_strategy string, crawl_depth int, cdn_host string, max_pages int, thumb_pattern string")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, "customer", RUNS)
+
+
+def subject_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, "orders", SUBJECT_LINKS)
+
+
+def host_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, "events", HOST_EVENTS)
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made(spark, sf_dir, "events", LOG)

@@ -9,7 +9,7 @@ import pytest
 from pagemill.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-NO_TWIN = {"cooldown_machine", "chunk_rows", "near_dup_greedy", "page_extract", "page_links_scoped"}
+NO_TWIN = {"cooldown_machine", "chunk_rows", "near_dup_greedy", "page_extract", "page_links_scoped", "bandwidth_pauses", "robots_allowed", "training_export"}
 
 
 def plain(x):
