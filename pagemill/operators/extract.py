@@ -22,6 +22,8 @@ from pagemill.functions import vocab as v
 # What marks page furniture, and how videos are named in text.
 LAYOUT_TAGS = frozenset(("nav", "aside", "footer", "header"))
 LAYOUT_WORDS = frozenset(("footer", "header", "sidebar", "nav", "navbar", "menu", "widget", "related", "sponsor", "advert", "ad", "ads", "banner", "social", "breadcrumb"))
+#: Attributes that name no picture when others may.
+TEXT_ATTRIBUTES = frozenset("alt title class id style width height onclick onload sizes rel target type media aria-label data-title data-alt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: By opened tag: the open elements that it ends, and those that they are not looked for beyond.
 ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "option": (("option",), ("select", "datalist")), "optgroup": (("option", "optgroup"), ("select",)), "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)), "tr": (("tr", "td", "th"), ("table",))}
@@ -117,6 +119,8 @@ class Page(HTMLParser):
         self.script: list[str] | None = None
         self.script_kind = ""
         self.is_login = False
+        self.player = False  # in a video that shows controls and loops
+        self.named: list[tuple[str, str, str]] = []  # what any attribute names, for pages without images or videos otherwise
 
     @property
     def in_layout(self) -> bool:
@@ -145,7 +149,28 @@ class Page(HTMLParser):
         key = (kind, url)
         if key not in self.seen:
             self.seen.add(key)
-            self.rows.append({"kind": kind, "url": url, "text": " ".join(text.split()), "width": width, "height": height, "place": place, "in_layout": self.in_layout})
+            self.rows.append({"kind": kind, "url": url, "text": " ".join(text.split()), "width": width, "height": height, "place": place, "in_layout": self.in_layout and place != "attribute"})
+
+    def finish(self, videos_too: bool = False) -> None:
+        """Where nothing else was found, the images (and videos, if wanted) that any attribute names."""
+        self.close()
+        for kind in ("image", "video") if videos_too else ("image",):
+            if not any(r["kind"] == kind for r in self.rows):
+                for found, raw, text in self.named:
+                    if found == kind:
+                        self.add(kind, raw, text, place="attribute")
+
+    def _name(self, attributes: dict[str, str]) -> None:
+        for key, raw in attributes.items():
+            raw = raw.strip()
+            if len(raw) > 4 and key not in TEXT_ATTRIBUTES and "." in raw:
+                try:
+                    target = urljoin(self.url, raw)
+                    kind = "image" if is_image(target) else "video" if is_video(target) else None
+                except ValueError:
+                    continue
+                if kind:
+                    self.named.append((kind, raw, attributes.get("alt") or attributes.get("title", "")))
 
     def handle_starttag(self, tag: str, attributes) -> None:
         a = {k: x or "" for k, x in attributes}
@@ -159,6 +184,9 @@ class Page(HTMLParser):
             self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append((tag, layout))
         number = lambda x: int(x) if x.isascii() and x.isdigit() and len(x) < 9 else None
+        self._name(a)
+        if tag == "video":
+            self.player = "controls" in a and "loop" in a
         if tag == "meta":
             name, content = (a.get("property") or a.get("name", "")).lower(), a.get("content", "")
             if name in ("og:title", "title", "twitter:title") and not self.og_title:
@@ -175,7 +203,7 @@ class Page(HTMLParser):
                 if self.anchor is not None:
                     self.anchor["alt"] = self.anchor["alt"] or a.get("alt", "")
         elif tag in ("source", "video"):
-            if not layout and (src := a.get("src") or a.get("data-src")) and (tag == "video" or is_video(urljoin(self.url, src)) or a.get("type", "").startswith("video")):
+            if not layout and (src := a.get("src") or a.get("data-src")) and (tag == "video" or is_video(urljoin(self.url, src)) or a.get("type", "").startswith("video") or self.player and video_kind(urljoin(self.url, src))):
                 self.add("video", src, place="video")
         elif tag in ("iframe", "embed"):
             src = a.get("src") or a.get("data-src", "")
@@ -187,7 +215,9 @@ class Page(HTMLParser):
                 for hidden in hidden_sources(urljoin(self.url, src)):
                     self.add("video", hidden, place="base64")
         if tag == "a" and a.get("href"):
-            self.anchor = {"href": a["href"], "text": [], "alt": "", "layout": layout}
+            self.anchor = {"href": a["href"], "text": [], "alt": "", "layout": layout, "place": "lightbox" if "data-fslightbox" in a or "data-lightbox" in a else "anchor"}
+        if tag == "link" and a.get("href"):
+            self.add("link", a["href"], place="link")
         if (style := a.get("style")) and not layout and (m := _STYLE_URL.search(style)):
             self.add("image", m[2], place="style")
         if tag == "script":
@@ -203,7 +233,7 @@ class Page(HTMLParser):
             except ValueError:
                 target, media = "", None
             if media and not a["layout"]:
-                self.add(media, a["href"], text, place="anchor")
+                self.add(media, a["href"], text, place=a["place"])
             elif target and not media:
                 self.add("link", a["href"], text, place="anchor")
         elif tag == "script" and self.script is not None:
@@ -211,6 +241,8 @@ class Page(HTMLParser):
             if "ld+json" in self.script_kind:
                 self._linked_data(text)
             self._videos_in(text)
+        elif tag == "video":
+            self.player = False
         if self.open.get(tag):
             self._cut(self.open[tag][-1])
 
@@ -243,11 +275,11 @@ class Page(HTMLParser):
                     self.add("image", x, "JSON-LD metadata", place="json-ld")
 
 
-def media_of(url: str, html: str) -> tuple[str, list[dict], bool]:
+def media_of(url: str, html: str, videos_too: bool = False) -> tuple[str, list[dict], bool]:
     """(title, rows, is login page) of a page."""
     page = Page(url)
     page.feed(html)
-    page.close()
+    page.finish(videos_too)
     return " ".join(("".join(page.title).strip() or page.og_title).split()), page.rows, page.is_login
 
 
@@ -270,8 +302,12 @@ def media_of_json(url: str, body: str) -> list[dict]:
 _COLUMNS = ["page_id", "page_url", "title", "seq", "kind", "url", "text", "width", "height", "place", "in_layout"]
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """One row per link, image and video of pages (page_id, url, html); a null page has none. No shuffle."""
+def extract(pages: DataFrame, videos_too: bool = False) -> DataFrame:
+    """One row per link, image and video of pages (page_id, url, html); a null page has none. No shuffle.
+
+    Images that only some other attribute names are taken where a page has no others (videos too, if wanted). A page
+    that says it is a login page has one row of kind login_wall and nothing else.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -282,7 +318,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 if html.lstrip()[:1] in ("{", "["):
                     title, rows = "", media_of_json(url, html)
                 else:
-                    title, rows, _ = media_of(url, html)
+                    title, rows, is_login = media_of(url, html, videos_too)
+                    if is_login:
+                        rows = [{"kind": "login_wall", "url": url, "text": "", "width": None, "height": None, "place": "meta", "in_layout": False}]
                 out += [(page_id, url, title, i, *(r[c] for c in _COLUMNS[4:])) for i, r in enumerate(rows)]
             frame = pd.DataFrame(out, columns=_COLUMNS)
             yield frame.astype({"width": "Int32", "height": "Int32"})

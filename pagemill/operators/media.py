@@ -111,6 +111,26 @@ def bytes_reason(width: Column, height: Column, size: Column, kind: Column) -> C
     return F.when(size < least, "too_small").when((kind == "image") & (width.isNull() | height.isNull()), "unknown_dimensions").when((kind == "image") & ((width < v.MIN_WIDTH) | (height < v.MIN_HEIGHT)), "low_resolution")
 
 
+def content_reason(url: Column, size: Column, content: Column, width: Column, height: Column, kind: Column, dead: Column, least_width: Column | None = None, least_height: Column | None = None) -> Column:
+    """First gate that a download fails; null lets it pass.
+
+    Known dead addresses, then size, then what the first bytes say it is (a stream manifest has none), then dimensions
+    below the usual least or that of the host's profile, whichever is larger.
+    """
+    found = signature(content)
+    expected = F.when(kind == "video", found.isin("mp4", "webm", "ogg", "avi")).otherwise(found.isin("jpeg", "png", "gif", "webp", "avif"))
+    wide, high = (F.greatest(F.lit(n), F.coalesce(own, F.lit(n)) if own is not None else F.lit(n)) for n, own in ((v.MIN_WIDTH, least_width), (v.MIN_HEIGHT, least_height)))
+    least = F.when(kind == "video", v.MIN_VIDEO_BYTES).otherwise(v.MIN_IMAGE_BYTES)
+    return (
+        F.when(F.coalesce(dead, F.lit(False)), "dead_url")
+        .when(u.is_stream_manifest(url), F.lit(None).cast("string"))
+        .when(size < least, "too_small")
+        .when(~F.coalesce(expected, F.lit(False)), "signature_mismatch")
+        .when((kind == "image") & (width.isNull() | height.isNull()), "unknown_dimensions")
+        .when((kind == "image") & ((width < wide) | (height < high)), "low_resolution")
+    )
+
+
 def signature(content: Column) -> Column:
     """File type by its first bytes (fixed values)."""
     h = F.hex(F.substring(content, 1, 16))

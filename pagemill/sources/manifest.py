@@ -154,6 +154,19 @@ def validate(text: str) -> list[tuple[int, str]]:
     return found
 
 
+def lint(text: str) -> tuple[bool, list[tuple[int, str]]]:
+    """Whether a manifest is free of errors, and all it found: what validate finds, and hosts that come back after others."""
+    found, done, last = validate(text), set(), None
+    for n, line in enumerate((x.strip() for x in text.splitlines()), 1):
+        if line and not line.startswith("#") and _URL.fullmatch(line):
+            host = re.sub(r"^https?://([^/?#]*).*$", r"\1", line.lower())
+            if host != last and host in done:
+                found.append((n, f"duplicate domain {host}"))
+            done.add(host)
+            last = host
+    return not found, sorted(found)
+
+
 _DDL = (
     "domain string, seed_urls array<string>, media_type string, crawl_strategy string, crawl_depth int, cdn_hosts array<string>, skip_link_discovery boolean, rate_limit double, "
     "min_image_size struct<w:int,h:int>, thumbnail_prefix_pattern string, preferred_engine string, requires_referer boolean, disabled boolean, max_pages int, subject_aliases array<string>, notes array<string>"

@@ -60,3 +60,36 @@ def domain_report(items: DataFrame) -> DataFrame:
 
 def dead_links(rows: DataFrame) -> DataFrame:
     return rows.select("url").distinct().orderBy("url")
+
+
+def run_summary(overall: DataFrame, by_host: DataFrame, reasons: DataFrame, path: str) -> None:
+    """One JSON document: a run's figures, its hosts (name to figures) and its most frequent reasons.
+
+    What it collects is aggregates, one row a host and ten reasons; the document is made and written by Spark.
+    """
+    hosts = by_host.agg(F.sort_array(F.collect_list(F.struct("host", *[c for c in by_host.columns if c != "host"]))).alias("hosts"))
+    top = reasons.orderBy(F.desc("n"), "reason").limit(10).agg(F.collect_list(F.struct("reason", "n")).alias("top_reasons"))
+    one = lambda df, k: df.withColumn("__k", F.lit(k))  # noqa: E731 - single rows, joined on a constant
+    doc = one(overall, 1).join(one(hosts, 1), "__k").join(one(top, 1), "__k").drop("__k")
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def archive(files: DataFrame, path: str) -> int:
+    """A ZIP of files (name, content) on the driver, one file in memory at a time, with metadata.json last; how many."""
+    import json
+    import zipfile
+
+    names = []
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for row in files.select("name", "content").orderBy("name").toLocalIterator():
+            z.writestr(row["name"], bytes(row["content"] or b""))
+            names.append(row["name"])
+        z.writestr("metadata.json", json.dumps({"files": len(names)}))
+    return len(names)
+
+
+def console_report(by_host: DataFrame, dead: DataFrame, rows: int = 1000) -> str:
+    """A table of hosts by name (of the first `rows`; a report to look at) and the first ten dead links."""
+    names = by_host.columns
+    lines = [" | ".join(names)] + [" | ".join(str(r[c]) for c in names) for r in by_host.orderBy("host").limit(rows).collect()]
+    return "\n".join([*lines, *(f"dead: {r['url']}" for r in dead_links(dead).limit(10).collect())])

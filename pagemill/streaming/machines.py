@@ -72,3 +72,19 @@ def pressure(stream: DataFrame) -> DataFrame:
     """Failures by host in sliding hours, for streams and tables alike."""
     kept = stream.withWatermark("ts", "10 minutes") if stream.isStreaming else stream
     return kept.groupBy("host", F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count_if(F.col("status") == 429).alias("n429"), F.count("*").alias("n")).select("host", F.col("w.start").alias("start"), "n429", "n")
+
+
+def cooldown_stream(log: DataFrame) -> DataFrame:
+    """The cooldown machine over a stream of (host, seq, status): each host's state is kept between micro-batches.
+
+    Within a micro-batch a host's rows are taken in order of seq.
+    """
+
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        machine = Cooldown(*state.get) if state.exists else Cooldown()
+        rows = sorted((seq, status) for pdf in frames for seq, status in zip(pdf["seq"], pdf["status"], strict=True))
+        fired = [(key[0], seq, *x, machine.level) for seq, status in rows if (x := machine.see(status)) is not None]
+        state.update((machine.run, machine.level))
+        yield pd.DataFrame(fired, columns=["host", "seq", "event", "pause_s", "level"])
+
+    return log.groupBy("host").applyInPandasWithState(run, _OUT, "run int, level int", "append", "NoTimeout")
