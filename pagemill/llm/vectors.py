@@ -5,17 +5,20 @@
    within the link threshold, so they are linked without being compared. A group of copies leaves a few leaders
    for each block, whatever its size.
 2. Shards. Leaders go to the shards of their OVERLAP nearest centroids. The centroids are fitted on a bounded sample
-   (SAMPLE leaders); every leader is indexed. A shard above SHARD leaders is cut into parts, and its queries visit
-   each part, so no task holds an unbounded shard.
-3. Graph. In each part the nearest CANDIDATES of a leader are pruned to DEGREE neighbours by the robust rule (a
+   (SAMPLE leaders); every leader is indexed. A shard above SHARD leaders is divided again by centroids of its own
+   (fitted on some SUBSAMPLE of its leaders), each leader going to its two nearest, so a search meets its own shards
+   only. What is too large even then, because its vectors are all alike, is cut into parts that all its queries visit.
+3. Graph. In each shard the nearest CANDIDATES of a leader are pruned to DEGREE neighbours by the robust rule (a
    candidate goes if a chosen neighbour is ALPHA times nearer to it), reverse edges are added, and the adjacency lists
-   of a leader's parts are united.
-4. Search. Each leader searches its parts greedily from their medoids with a beam, then expands its range: every
-   visited leader that may hold a link is expanded until none is left.
+   of a leader's shards are united.
+4. Search. Each leader searches its shards greedily from their medoids with a beam of bounded width, then expands its
+   range: the rows found that may hold a link are expanded until they lead to no other.
 5. Verify. Pairs of balls whose radii leave a doubt are compared member by member, in blocks, in double precision;
    elsewhere the triangle inequality settles all pairs at once. No pairs of rows are emitted.
-6. Audit. The link counts of AUDIT rows are held against all rows; below RECALL the search is repeated with a wider
-   beam, then refused.
+6. Audit. The link counts of AUDIT rows, drawn by hash whatever was found, are held against all rows; if the mean share
+   found is below RECALL, all is searched again with a wider beam and more overlap, then refused.
+
+The index may miss links, so n_links is a count of links found, each of them real; components are of found links.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from .common import cut, shards
 from .graph import components
 
 FOLD = 0.98
-BLOCK, SHARD, SAMPLE, OVERLAP = 2048, 4096, 20_000, 3
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 32
-AUDIT, RECALL = 100, 0.9
-_SLACK = 1e-9
+BLOCK, SHARD, SAMPLE, SUBSAMPLE, OVERLAP = 2048, 4096, 20_000, 2048, 3
+CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 16
+AUDIT, RECALL = 200, 0.9
+#: Queries searched at once, and what single precision may be off by.
+QUERIES, _SLACK = 1024, 1e-5
 
 
 def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +105,8 @@ def _pruned(x: np.ndarray) -> list[np.ndarray]:
         order = np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable")
         near = np.take_along_axis(near, order, axis=1)
         d = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(s, near, axis=1)))
-        among = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("qif,qjf->qij", x[near], x[near])))
+        g = x[near]
+        among = np.sqrt(np.maximum(0, 2 - 2 * (g @ g.transpose(0, 2, 1))))
         open_ = np.ones(near.shape, bool)
         for _ in range(DEGREE):
             first = np.argmax(open_, axis=1)
@@ -112,61 +117,94 @@ def _pruned(x: np.ndarray) -> list[np.ndarray]:
                 chosen[rows[q]].append(int(near[q, first[q]]))
             open_ &= ~(ALPHA * among[np.arange(len(rows)), first] <= d)
             open_[np.arange(len(rows)), first] = False
-    both = [set(c) for c in chosen]
+    back: list[list[int]] = [[] for _ in range(n)]
     for i, c in enumerate(chosen):
         for j in c:
-            both[j].add(i)
-    return [np.array(sorted(b), np.int64) for b in both]
+            back[j].append(i)
+    out = []
+    for i, c in enumerate(chosen):
+        more = np.setdiff1d(np.array(back[i], np.int64), np.array(c, np.int64))
+        if len(more) > DEGREE:  # a hub keeps its nearest
+            more = more[np.argpartition(-(x[more] @ x[i]), DEGREE - 1)[:DEGREE]]
+        out.append(np.concatenate([np.array(c, np.int64), more]))
+    return out
+
 
+def _search(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, in_range, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, row) pairs found for which in_range(query, row, cosine) holds.
 
-def _search(x: np.ndarray, links: list[np.ndarray], q: np.ndarray, bound: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, row, cosine) of rows found with a cosine of bound[query, row] or more; bound gives one by its rows' radii."""
+    A beam of the best rows seen is expanded from the medoid until all of it is; then the rows in range, level by level.
+    Work is in proportion to the edges of what is expanded, not to the rows.
+    """
     n = len(x)
-    degree = max(1, max((len(a) for a in links), default=1))
-    table = np.full((n, degree), -1)
-    for i, a in enumerate(links):
-        table[i, : len(a)] = a
-    medoid = int(np.argmax(x @ x.mean(axis=0)))
-    for start in range(0, len(q), 256):
-        y = q[start : start + 256]
+    degree = np.array([len(a) for a in links], np.int64)
+    first, flat = np.cumsum(degree) - degree, np.concatenate([*links, np.empty(0, np.int64)]).astype(np.int64)
+    fast, medoid = x.astype(np.float32), int(np.argmax(x @ x.mean(axis=0)))
+
+    for start in range(0, len(q), QUERIES):
+        y = q[start : start + QUERIES].astype(np.float32)
         m = len(y)
+        seen, expanded = np.zeros((m, n), bool), np.zeros((m, n), bool)
+        found_a, found_b = [], []
+
+        def reach(a: np.ndarray, b: np.ndarray, repeated: bool):
+            """Rows not seen before next to rows b of queries a, with their cosines; those in range are noted."""
+            size = degree[b]
+            a = np.repeat(a, size)
+            b = flat[np.arange(len(a)) + np.repeat(first[b] - (np.cumsum(size) - size), size)]
+            new = ~seen[a, b]  # noqa: B023
+            a, b = a[new], b[new]
+            if repeated and len(a):
+                pairs = np.unique(a * n + b)
+                a, b = pairs // n, pairs % n
+            seen[a, b] = True  # noqa: B023
+            c = np.einsum("ij,ij->i", y[a], fast[b])  # noqa: B023
+            near = in_range(start + a, b, c)  # noqa: B023
+            found_a.append(a[near])  # noqa: B023
+            found_b.append(b[near])  # noqa: B023
+            return a, b, c
+
+        pool, at, done = np.full((m, beam), -4.0, np.float32), np.zeros((m, beam), np.int64), np.ones((m, beam), bool)
         rows = np.arange(m)
-        least = bound(start, start + m)
-        sims = np.full((m, n), -4.0)
-        done = np.zeros((m, n), bool)
-        sims[:, medoid] = y @ x[medoid]
+        pool[:, 0], at[:, 0], done[:, 0], seen[:, medoid] = y @ fast[medoid], medoid, False, True
+        near = in_range(start + rows, np.full(m, medoid), pool[:, 0])
+        found_a.append(rows[near])
+        found_b.append(np.full(int(near.sum()), medoid))
         active = rows
-        while len(active):
-            open_ = np.where(done[active], -4.0, sims[active])
-            pick = np.argmax(open_, axis=1)
-            best = open_[np.arange(len(active)), pick]
-            better = (sims[active] > best[:, None]).sum(axis=1)
-            go = (best > -3) & ((better < beam) | (best >= least[active, pick]))
-            if not go.all():
-                # the best open row lies beyond the beam and the range: look for any that is still in range
-                stuck = active[~go]
-                inside = ~done[stuck] & (sims[stuck] >= least[stuck])
-                has = inside.any(axis=1)
-                pick[~go] = np.where(has, np.argmax(inside, axis=1), pick[~go])
-                go[~go] = has
-            active, pick = active[go], pick[go]
+        while True:
+            active = active[~done[active].all(axis=1)]
             if len(active) == 0:
                 break
-            done[active, pick] = True
-            near = table[pick]
-            new = near >= 0
-            a, b = np.repeat(active, degree)[new.ravel()], near[new]
-            unseen = sims[a, b] < -3
-            a, b = a[unseen], b[unseen]
-            sims[a, b] = np.einsum("ij,ij->i", y[a], x[b])
-        i, j = np.nonzero(sims >= least)
-        yield start + i, j, sims[i, j]
+            best = np.argmax(np.where(done[active], np.float32(-5), pool[active]), axis=1)
+            done[active, best] = True
+            node = at[active, best]
+            expanded[active, node] = True
+            a, b, c = reach(active, node, False)
+            if len(a) == 0:
+                continue
+            turn = np.searchsorted(active, a)  # in order
+            count = np.bincount(turn, minlength=len(active))
+            place = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+            wide = beam + int(count.max())
+            s, i, d = np.full((len(active), wide), -4.0, np.float32), np.zeros((len(active), wide), np.int64), np.ones((len(active), wide), bool)
+            s[:, :beam], i[:, :beam], d[:, :beam] = pool[active], at[active], done[active]
+            s[turn, beam + place], i[turn, beam + place], d[turn, beam + place] = c, b, False
+            top = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+            pool[active], at[active], done[active] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1), np.take_along_axis(d, top, 1)
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        left = ~expanded[a, b]
+        a, b = a[left], b[left]
+        while len(a):
+            have = len(found_a)
+            reach(a, b, True)
+            a, b = np.concatenate(found_a[have:]), np.concatenate(found_b[have:])
+        yield start + np.concatenate(found_a), np.concatenate(found_b)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", embedding: str = "embedding", beam: int = BEAM) -> DataFrame:
     """`key`, n_links, component_id, kept: one row per input row.
 
-    Rows link if their cosine in double precision is at least the threshold (0.93 at most, so that balls are safe).
+    Rows link if their cosine in double precision is at least the threshold (0.92 at most, so that balls are safe).
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors of
     different lengths don't link. Rows that repeat an id are vectors of their own. A null id names no component that
     has an id. Other columns are ignored. No rows give no rows.
@@ -179,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     members = folded.where("leader is not null").withColumn("ball", F.xxhash64("leader"))
     balls = cut(members.groupBy("ball").agg(F.first("leader").alias("x"), F.min("cosine").alias("cosine"), F.count("*").alias("size"), F.min("vec_id").alias("first")).withColumn("radius", F.when(F.col("size") == 1, F.lit(0.0)).otherwise(F.acos(F.least(F.lit(1.0), "cosine")))))
     for wider in range(3):
-        pairs = _ball_pairs(spark, balls, threshold, beam << wider)
+        pairs = _ball_pairs(spark, balls, threshold, beam << 2 * wider, OVERLAP << wider)
         counts = _counted(members, balls, pairs, threshold)
         result = cut(_result(folded, members, balls, counts, key))
         if _recall(spark, members, counts, threshold) >= RECALL:
@@ -187,29 +225,62 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     raise RuntimeError(f"the index finds less than {RECALL:.0%} of the links")
 
 
-def _ball_pairs(spark, balls: DataFrame, threshold: float, beam: int) -> DataFrame:
-    """a, b (both ways), whole: leaders near enough for links; whole if all members are linked."""
+def _nearest(centres: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    return np.argsort(-(centres @ x), kind="stable")[:k]
+
+
+def _placed(spark, balls: DataFrame, overlap: int) -> DataFrame:
+    """shard, ball, x, radius: the shards of each leader."""
     n = balls.count()
-    theta = float(np.arccos(threshold))
     sample = balls.select("x", F.xxhash64("ball").alias("h")).orderBy("h").limit(SAMPLE).collect()
     by_length: dict[int, list[np.ndarray]] = {}
     for r in sample:
         by_length.setdefault(len(r["x"]), []).append(np.frombuffer(r["x"]))
-    centres = {k: _centroids(np.array(v), max(1, min(len(v) // 20, -(-n * OVERLAP // SHARD)))) for k, v in by_length.items()}
+    centres = {k: _centroids(np.array(v), max(1, min(len(v) // 20, -(-n * overlap // SHARD)))) for k, v in by_length.items()}
     shared = spark.sparkContext.broadcast(centres)  # bounded by the sample
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ball, blobs, radius = batch.column("ball").to_pylist(), batch.column("x").to_pylist(), batch.column("radius").to_pylist()
-            out = []
-            for b, raw, r in zip(ball, blobs, radius, strict=True):
-                c = shared.value.get(len(raw))
-                x = np.frombuffer(raw)
-                near = np.zeros(1, np.int64) if c is None else np.argsort(-(c @ x), kind="stable")[:OVERLAP]
-                out += [(b, raw, r, len(raw) << 16 | int(s)) for s in near]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.binary(), pa.float64(), pa.int64()), strict=True)], names=["ball", "x", "radius", "shard"])
-
-    placed = cut(balls.select("ball", "x", "radius").mapInArrow(assign, "ball bigint, x binary, radius double, shard bigint"))
+    def placing(choose):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    out += [(shard, *row[1:]) for shard in choose(row[0], row[2])]
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.float64()), strict=True)], names=["shard", "ball", "x", "radius"])
+
+        return run
+
+    def top(_, raw: bytes) -> list[int]:
+        c = shared.value.get(len(raw))
+        near = [0] if c is None else _nearest(c, np.frombuffer(raw), overlap).tolist()
+        return [(len(raw) << 16 | s) << 8 for s in near]
+
+    schema = "shard bigint, ball bigint, x binary, radius double"
+    placed = cut(balls.select(F.lit(0).cast("long").alias("shard"), "ball", "x", "radius").mapInArrow(placing(top), schema))
+    large = placed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).withColumn("every", F.ceil(F.col("n") / SUBSAMPLE))
+    if not large.take(1):
+        return placed
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(table.num_rows, -1)
+        k = max(1, min(len(x) // 10, 200, -(-3 * table["n"][0].as_py() // SHARD)))
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "centres": pa.array([_centroids(x, k).tobytes()], pa.binary())})
+
+    some = placed.join(large, "shard").where(F.pmod(F.xxhash64("ball", F.lit("sample")), F.col("every")) == 0)
+    fitted = some.select("shard", "n", "x").groupBy("shard").applyInArrow(fit, "shard bigint, centres binary").collect()  # at most 200 of each centroid
+    inner = spark.sparkContext.broadcast({r["shard"]: bytes(r["centres"]) for r in fitted})
+
+    def below(shard: int, raw: bytes) -> list[int]:
+        c = inner.value.get(shard)
+        return [shard] if c is None else [shard + 1 + int(k) for k in _nearest(np.frombuffer(c).reshape(-1, len(raw) // 8), np.frombuffer(raw), 2)]
+
+    return cut(placed.mapInArrow(placing(below), schema))
+
+
+def _ball_pairs(spark, balls: DataFrame, threshold: float, beam: int, overlap: int) -> DataFrame:
+    """a, b (both ways), whole: leaders near enough for links; whole if all members are linked."""
+    theta = float(np.arccos(threshold))
+    placed = _placed(spark, balls, overlap)
     sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     placed = placed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("ball"), F.col("parts")).cast("int"))
     index = placed.select("shard", "part", "ball", "x", "radius")
@@ -242,10 +313,13 @@ def _ball_pairs(spark, balls: DataFrame, threshold: float, beam: int) -> DataFra
                 at = np.minimum(np.searchsorted(known, near), len(known) - 1)
                 links.append(np.unique(at[known[at] == near]))
 
-            def bound(a: int, b: int) -> np.ndarray:
-                return np.cos(np.minimum(np.pi, theta + radius[q[a:b], None] + radius[own][None, :])) - _SLACK
+            rq, ro, y, z = radius[q], radius[own], x[q], x[own]
+
+            def in_range(i, j, c):
+                return c >= np.cos(np.minimum(np.pi, theta + rq[i] + ro[j])) - _SLACK
 
-            for i, j, s in _search(x[own], links, x[q], bound, beam):
+            for i, j in _search(z, links, y, in_range, beam):
+                s = np.concatenate([np.einsum("ij,ij->i", y[i[k : k + 65536]], z[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.empty(0)])
                 a, b = q[i], own[j]
                 apart = ids[a] != ids[b]
                 a, b, s = a[apart], b[apart], s[apart]
@@ -308,10 +382,8 @@ def _result(folded: DataFrame, members: DataFrame, balls: DataFrame, counts: Dat
 
 
 def _recall(spark, members: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT rows (by hash, half of them with links) that were counted."""
-    tagged = counts.withColumn("h", F.xxhash64("vec_id", "vector"))
-    linked = tagged.where("n_links > 0").orderBy("h", "vec_id").limit(AUDIT // 2).collect()
-    rows = linked + tagged.orderBy("h", "vec_id").limit(AUDIT - len(linked)).collect()
+    """The mean, over AUDIT rows drawn by hash that have links, of the share of their links that was counted."""
+    rows = counts.select("vec_id", "vector", "n_links").orderBy(F.xxhash64("vec_id", "vector", F.lit("audit")), "vec_id").limit(AUDIT).collect()
     if not rows:
         return 1.0
     sample = spark.sparkContext.broadcast([r["vector"] for r in rows])
@@ -331,5 +403,5 @@ def _recall(spark, members: DataFrame, counts: DataFrame, threshold: float) -> f
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
 
     true = {r["i"]: r["n"] - 1 for r in members.select("vector").mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    links = sum(true.values())
-    return 1.0 if links == 0 else sum(min(r["n_links"], true[i]) for i, r in enumerate(rows)) / links
+    shares = [min(1.0, r["n_links"] / true[i]) for i, r in enumerate(rows) if true[i]]
+    return sum(shares) / len(shares) if shares else 1.0

@@ -297,6 +297,39 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 150])
+def test_vectors_in_divided_shards(spark, monkeypatch, shard):
+    """Shards of 150 leaders are divided again, some cut into parts; the links are those of all pairs."""
+    monkeypatch.setattr(vectors, "SHARD", shard)
+    monkeypatch.setattr(vectors, "SUBSAMPLE", 100)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(150, 32))
+    rows = np.array([centres[k % 150] + rng.normal(size=32) * rng.choice([0.05, 0.2, 0.3]) for k in range(1500)])
+    out = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    x = rows / np.linalg.norm(rows, axis=1)[:, None]
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = np.array([out[i]["n_links"] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.98 * links.sum() and links.sum() > 2000
+
+
+def test_search_is_cheaper_than_all_products():
+    """On a full shard of clustered rows the search finds nearly all in range and meets few of the rows."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 64))
+    x = centres[rng.integers(0, 400, 4096)] + rng.normal(size=(4096, 64)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    met = 0
+
+    def in_range(a, b, c):
+        nonlocal met
+        met += len(a)
+        return c >= 0.9
+
+    found = sum(len(a) for a, _ in vectors._search(x, vectors._pruned(x), x, in_range, vectors.BEAM))
+    true = int((x @ x.T >= 0.9).sum())
+    assert 0.97 * true <= found <= true and met < 0.15 * 4096 * 4096
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(300 + k, 301 + k) for k in range(40)] + [(7, 7)]
