@@ -1,17 +1,19 @@
 """Benchmark decontamination with SimHash windows of the items' sizes.
 
 A document is compared with an item by windows of the item's length in words. A window can only reach the similarity
-if it shares a shingle with the item, so windows around shared shingles are enough. Each such window gets a
-SimHash fingerprint from its shingles, repeats counted. A multi-index over the items' fingerprints has RADIUS + 1
-blocks of bits: two fingerprints that differ in RADIUS bits or fewer agree in one block at least, so every item within
-the radius is a candidate. A candidate is verified by the exact similarity of the two multisets of shingles (sum of
-the smaller counts over sum of the larger).
+if it holds a certain number of the item's shingles, so where a document has an item's shingles is looked up first, and
+only windows with that many of them are candidates of the item; no other can be alike. Each such window gets a SimHash
+fingerprint from its shingles, repeats counted. A multi-index has RADIUS + 1 blocks of bits: two fingerprints that
+differ in RADIUS bits or fewer agree in one block at least, so a candidate goes on if a block agrees and the distance is
+within the radius. It is verified by the exact similarity of the two multisets of shingles (sum of the smaller counts
+over sum of the larger). Shingles are hashed with XXH64, so fingerprints and distances are the same in every process.
 
 The similarity of 0.8 asks for 8 / 9 of the shingles in common where both have equally many; fingerprints then differ
-in 10 bits of 64 on average and in more than 20 in fewer than one of a thousand cases.
+in 10 bits of 64 on average, with a deviation of 3, so the radius of 28 is six deviations away.
 
 The items are the stated query set: they are taken in blocks of at most BLOCK_BYTES of text, each sent to all
-executors, so what is broadcast doesn't grow with the benchmark. The documents are read once a block, not shuffled.
+executors, so what is broadcast doesn't grow with the benchmark. The documents are read once a block, not shuffled; with
+several blocks the rows are checkpointed after each, so one block is held at a time.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import slices
+from .common import cut, slices
 from .shards import mix
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 20
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 28
 BLOCK_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(64)], np.uint64)
@@ -43,10 +46,10 @@ def tokens(text: str) -> list[str]:
 
 
 def shingles(words: list[str], size: int) -> np.ndarray:
-    """Hashes of the runs of `size` words; of all words if there are fewer. They hold within one process."""
+    """Hashes of the runs of `size` words; of all words if there are fewer."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     size = min(size, len(words))
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
@@ -71,7 +74,7 @@ class Item:
 
 
 class Items:
-    """The items of a block by shingle, and a multi-index by fingerprint for each length."""
+    """The items of a block by shingle, and the blocks of bits of the multi-index."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int, radius: int):
         self.size, self.radius = size, radius
@@ -90,25 +93,16 @@ class Items:
         self.short = min((x.words for x in self.items if x.words < size), default=0)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.h >> np.uint64(44)).astype(np.int64)] = True
-        self.widths = [len(x) for x in np.array_split(np.arange(64), radius + 1)]
-        self.index: dict[int, list[dict[int, list[int]]]] = {}
-        for i, item in enumerate(self.items):
-            tables = self.index.setdefault(item.words, [{} for _ in self.widths])
-            for table, value in zip(tables, self._blocks(item.fingerprint), strict=True):
-                table.setdefault(value, []).append(i)
-
-    def _blocks(self, fingerprint: int) -> Iterator[int]:
-        for width in self.widths:
-            yield fingerprint & ((1 << width) - 1)
-            fingerprint >>= width
-
-    def near(self, words: int, fingerprint: int) -> list[tuple[int, int]]:
-        """(item, distance) of all items of that length within the radius."""
-        found: set[int] = set()
-        for table, value in zip(self.index[words], self._blocks(fingerprint), strict=True):
-            found.update(table.get(value, ()))
-        out = [(i, (self.items[i].fingerprint ^ fingerprint).bit_count()) for i in found]
-        return [(i, d) for i, d in out if d <= self.radius]
+        self.lengths = np.array([x.words for x in self.items], np.int64)
+        self.totals = np.array([x.counts.total() for x in self.items], np.int64)
+        parts = np.array_split(np.arange(64), radius + 1)
+        self.blocks = np.array([sum(1 << int(bit) for bit in part) for part in parts], np.uint64)
+
+    def near(self, i: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which fingerprints agree with item i in a block and lie within the radius, and all distances."""
+        apart = prints ^ np.uint64(self.items[i].fingerprint)
+        distance = np.bitwise_count(apart)
+        return ((apart[:, None] & self.blocks[None, :]) == 0).any(axis=1) & (distance <= self.radius), distance
 
     def leaks(self, text: str, least: float) -> list[dict]:
         """For each item that a window of the text is similar to: its best window, the first of equal ones."""
@@ -116,7 +110,7 @@ class Items:
         if not words or not self.items:
             return []
         best: dict[int, tuple[float, int, int, int]] = {}
-        for size in {self.size, *(x for x in self.index if x < self.size)}:
+        for size in {self.size, *(int(x) for x in self.lengths if x < self.size)}:
             h = shingles(words, size)
             at = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
             if len(at) == 0:
@@ -128,35 +122,49 @@ class Items:
                 continue
             owners = self.owner[np.concatenate([np.arange(a, b) for a, b in zip(left, right, strict=True)])]
             where = np.repeat(at, right - left)
-            lengths = np.array([self.items[i].words for i in owners])
-            for length in np.unique(lengths).tolist():
-                if (length < self.size) != (size < self.size) or size < self.size and size != length:
-                    continue
-                width = min(max(1, length - size + 1), len(h))
-                self._windows(h, np.unique(where[lengths == length]), width, length, size, least, best)
+            for i, at in self._asked(owners, where, size, len(h), least):
+                self._windows(h, at, i, size, least, best)
         return [{"item_id": self.items[i].item_id, "similarity": s, "distance": d, "start": a, "end": min(b, len(words))} for i, (s, d, a, b) in sorted(best.items())]
 
-    def _windows(self, h: np.ndarray, at: np.ndarray, width: int, length: int, size: int, least: float, best: dict) -> None:
-        last = len(h) - width
-        lows, highs = np.clip(at - width + 1, 0, last), np.clip(at, 0, last)
-        a, b = int(lows[0]), int(highs[0])
-        spans = []
-        for low, high in zip(lows[1:].tolist(), highs[1:].tolist(), strict=True):
-            if low > b + 1:
-                spans.append((a, b))
-                a = low
-            b = max(b, high)
-        for a, b in [*spans, (a, b)]:
-            for a in range(a, b + 1, 65536):
-                e = min(b, a + 65535)
-                for k, f in enumerate(fingerprints(h[a : e + width], width).tolist()):
-                    for i, d in self.near(length, f):
-                        item = self.items[i].counts
-                        own = Counter(h[a + k : a + k + width].tolist())
-                        shared = sum(min(n, item[x]) for x, n in own.items() if x in item)
-                        similarity = shared / (own.total() + item.total() - shared)
-                        if similarity >= least and (i not in best or similarity > best[i][0]):
-                            best[i] = (similarity, d, a + k, a + k + length)
+    def _width(self, i, size: int, n: int):
+        """Shingles of a window for item i, in a text of n of them."""
+        return np.minimum(np.maximum(1, self.lengths[i] - size + 1), n)
+
+    def _asked(self, owners: np.ndarray, where: np.ndarray, size: int, n: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, starts of windows that hold as many of its shingles as the similarity asks for)."""
+        fits = (self.lengths[owners] >= self.size) if size == self.size else self.lengths[owners] == size
+        owners, where = owners[fits], where[fits]
+        order = np.lexsort((where, owners))
+        owners, where = owners[order], where[order]
+        if len(owners) == 0:
+            return
+        width = self._width(owners, size, n)
+        # shared / (width + total - shared) >= least; a little below, so that rounding loses nothing
+        need = np.maximum(1, np.ceil(least * (width + self.totals[owners]) / (1 + least) - 1e-9)).astype(np.int64)
+        last = np.arange(len(owners)) + need - 1
+        hit = np.flatnonzero(last < len(owners))
+        hit = hit[(owners[last[hit]] == owners[hit]) & (where[last[hit]] - where[hit] < width[hit])]
+        for i in np.unique(owners[hit]).tolist():
+            own = hit[owners[hit] == i]
+            w = int(width[own[0]])
+            low, high = np.clip(where[last[own]] - w + 1, 0, n - w), np.clip(where[own], 0, n - w)
+            size_of = high - low + 1
+            starts = np.repeat(low - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
+            yield i, np.unique(starts)
+
+    def _windows(self, h: np.ndarray, at: np.ndarray, i: int, size: int, least: float, best: dict) -> None:
+        item, width = self.items[i], int(self._width(i, size, len(h)))
+        for group in np.split(at, np.flatnonzero(np.diff(at) > width) + 1):
+            for k in range(0, len(group), 65536):
+                part = group[k : k + 65536]
+                prints = fingerprints(h[part[0] : part[-1] + width], width)[part - part[0]]
+                near, distance = self.near(i, prints)
+                for a, d in zip(part[near].tolist(), distance[near].tolist(), strict=True):
+                    own = Counter(h[a : a + width].tolist())
+                    shared = sum(min(n, item.counts[x]) for x, n in own.items() if x in item.counts)
+                    similarity = shared / (own.total() + item.counts.total() - shared)
+                    if similarity >= least and (i not in best or similarity > best[i][0]):
+                        best[i] = (similarity, d, a, a + item.words)
 
 
 @lru_cache(maxsize=2)
@@ -182,6 +190,9 @@ def flag(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == k).collect()
         shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted((r["item_id"], r["t"]) for r in rows)))
         out = out.mapInArrow(_run(shared, at, similarity, words, radius), schema)
+        if k < blocks - 1:
+            out = cut(out)
+            shared.unpersist()
     return out
 
 

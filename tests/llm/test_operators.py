@@ -397,6 +397,38 @@ def test_decontamination_against_all_windows(spark, docs):
     assert flagged.where(F.size("leaks") > 0).count() == 0 and flagged.count() == docs.count()
 
 
+def test_decontamination_near_the_threshold_and_in_blocks(spark, monkeypatch):
+    """Copies with changed words on both sides of 0.8, in long texts and by blocks of items, against all windows."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(4000)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([20, 60, 150])))) for k in range(12)]
+    rows = []
+    for i in range(80):
+        copy = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, max(1, len(copy) // 45 + 1))):
+            copy[rng.randrange(len(copy))] = "other"
+        rows.append((i, " ".join(rng.choices(words, k=rng.choice([0, 30, 3000])) + copy + rng.choices(words, k=10)), "kept"))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string, leaks string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, text, _ in rows:
+        for k, item in items:
+            a, b = decontaminate.tokens(text), decontaminate.tokens(item)
+            run = lambda x: [tuple(x[j : j + 5]) for j in range(len(x) - 4)]
+            target, h = Counter(run(b)), run(a)
+            width = min(len(h), target.total())
+            for start in range(len(h) - width + 1):
+                c = Counter(h[start : start + width])
+                shared = (c & target).total()
+                if shared / (c.total() + target.total() - shared) >= 0.8:
+                    want.add((i, k))
+                    break
+    for size in (16 << 20, 1500):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.leaks(docs, table).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and 20 < len(want) < 80
+    assert {(r["doc_id"], r["distance"]) for r in got} == {(r["doc_id"], r["distance"]) for r in decontaminate.leaks(docs.repartition(5), table).collect()}
+
+
 # ---- 6 WARC
 
 
