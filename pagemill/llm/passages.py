@@ -7,6 +7,8 @@ segments whose minimizer stands in more than one document can hold a repeat: the
 document shard with its smallest document, to the shard of their minimizer, so equal strings meet. There the
 distinct segments are sorted by external induced suffix sorting, and the windows that share a common prefix of
 `length` bytes get the smallest document among them. A minimizer with a single distinct segment has nothing to sort.
+Segments of different minimizers share no window, so a key shard is sorted some whole minimizers at a time (about SORTED
+bytes), whatever its size; only the segments of one minimizer always stay together.
 What a document must remove comes back by segment.
 """
 
@@ -25,8 +27,8 @@ from .substrings import _ANSWERS, _ENTRIES, _ENTRY_SCHEMA, _alive, _empty, _entr
 
 SEED = 24
 SLICE = 1 << 18
-#: Memory of the sorting queues of a key shard before they go to disk.
-MEMORY = 128 << 20
+#: Memory of the sorting queues before they go to disk, and about how many bytes of segments are sorted at once.
+MEMORY, SORTED = 128 << 20, 4 << 20
 
 _REPLY_SCHEMA = pa.schema([("shard", pa.int32()), ("key", pa.int32()), ("kind", pa.int32()), ("mask", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
 _REPLIES = _ANSWERS + ", counts binary, sizes binary"
@@ -156,14 +158,19 @@ def _sorted(table: pa.Table, length: int) -> pa.Table:
     shared = np.flatnonzero(counts[at] > 1)  # other segments have the same minimizer
     runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     least = low_of.copy()
-    if len(shared):
-        chosen = [segments[i] for i in shared]
-        text = encoded(chosen)
-        sizes = np.array([len(x) for x in chosen], np.int64) + 1
-        owner = np.append(np.repeat(low_of[shared], sizes), NO_ID)
+    shared = shared[np.argsort(at[shared], kind="stable")]
+    group, size = at[shared], windows[shared] + length
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(shared) else np.empty(0, np.int64)
+    before = np.cumsum(size) - size
+    portion = before[heads] // SORTED  # of each minimizer, by where it starts
+    cuts = heads[np.flatnonzero(np.diff(portion, prepend=-1))] if len(heads) else heads
+    for part in np.split(shared, cuts[1:]) if len(shared) else ():
+        text = encoded([segments[i] for i in part])
+        sizes = windows[part] + length
+        owner = np.append(np.repeat(low_of[part], sizes), NO_ID)
         owners = smallest_owner(text, owner, length, MEMORY)
         starts = np.cumsum(sizes) - sizes
-        for i, a in zip(shared.tolist(), starts.tolist(), strict=True):
+        for i, a in zip(part.tolist(), starts.tolist(), strict=True):
             own = owners[a : a + windows[i]]
             edges = np.flatnonzero(own[1:] != own[:-1])
             if len(edges) or own[0] != low_of[i]:

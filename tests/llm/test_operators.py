@@ -96,7 +96,9 @@ def test_substrings_tell_long_words_apart(spark, letters):
     assert got == {1: 0, 2: 0, 3: 13}
 
 
-def test_passages_against_brute_force(docs):
+@pytest.mark.parametrize("sorted_at_once", [4 << 20, 300])
+def test_passages_against_brute_force(docs, monkeypatch, sorted_at_once):
+    monkeypatch.setattr(passages, "SORTED", sorted_at_once)
     want = windows_removed(corpus(), 50, lambda t: list((t or "").encode()))
     got = {r["doc_id"]: r for r in passages.deduplicate(docs).collect()}
     for i, (x, gone) in want.items():
