@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import shared_dir
 
-RECORDS = 1000
+#: Records a file, and about how many bytes of them at most; bytes a chunk.
+RECORDS, FILE_BYTES = 1000, 64 << 20
 CHUNK = 4096
 _END = b"\r\n\r\n"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 9562
@@ -108,7 +109,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
     """Writes the archive of pages (page_id, url, html) to a new folder `path`.
 
     A null html is an empty payload. Rows with a null id are responses unless an equal payload has an id. Rows that
-    repeat a page, id and payload, are all written. An empty table makes an archive without records.
+    repeat a page, id and payload, are all written. An empty table makes an archive without records. A file holds at
+    most about FILE_BYTES, as records are cut into segments; a reader takes a file at a time into memory.
     """
     spark = pages.sparkSession
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -128,25 +130,38 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     made = planned.mapInArrow(build, "value string")
-    made.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS).text(path)
+    made.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", max(1, min(RECORDS, FILE_BYTES // segment_bytes))).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a file."""
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers with lower-case names, block) of each record of a file.
+
+    What is no record is passed over up to the next line that starts one; a block that the file's end cuts off is None.
+    """
     at = 0
     while True:
         while data[at : at + 2] == b"\r\n":
             at += 2
         if at >= len(data):
             return
-        end = data.find(_END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
+        end = data.find(_END, at) if data.startswith(b"WARC/", at) else -1
+        headers = {}
+        if end >= 0:
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        length = _number(headers.get("content-length"))
+        if length is None:
+            at = data.find(b"\nWARC/", at + 1) + 1
+            if at == 0:
+                return
+            continue
+        start, at = end + 4, end + 4 + length
+        yield headers, data[start:at] if at <= len(data) else None
+
+
+def _number(x: str | None) -> int | None:
+    """A header's value as a number of 18 digits at most, else None."""
+    return int(x) if x is not None and x.isascii() and x.isdigit() and len(x) < 19 else None
 
 
 def payload_of(block: bytes) -> bytes | None:
@@ -158,22 +173,20 @@ def payload_of(block: bytes) -> bytes | None:
     return unchunked(body) if is_chunked else body
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, files: str = "part-*") -> DataFrame:
     """One row per response or revisit record: record_id, record_type, url, page_id, digest, refers_to, length
     (of the payload that a revisit refers to), payload, complete.
 
-    `payload` is null for revisits, and where segments lack, repeat with other lengths or break the framing
-    (`complete` is then false). An archive without records gives no rows.
+    `payload` is null for revisits, and where segments lack, are cut off, differ between copies or break the framing
+    (`complete` is then false). What is no record is passed over. An archive without records gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("record_id", "record_type", "target", "page_id", "digest", "refers_to", "length", "segment", "origin", "total", "block")
         types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())
 
-        def number(x: str | None) -> int | None:
-            return None if x is None else int(x)
-
+        number = _number
         for batch in batches:
             for content in batch.column(0):
                 rows = []
@@ -188,28 +201,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    parsed = files.mapInArrow(run, _PARSED)
+    parsed = contents.mapInArrow(run, _PARSED)
     about = ("record_type", "target", "page_id", "digest", "refers_to", "length")
-    whole = parsed.where("segment is null").select("record_id", *about, "block", F.lit(True).alias("complete"))
+    whole = parsed.where("segment is null").select("record_id", *about, F.array("block").alias("blocks"), F.col("block").isNotNull().alias("complete"))
     # equal copies of a segment fold before the shuffle's end; the first segment counts how often its record stands there
-    each = parsed.where("segment is not null").groupBy("origin", "segment").agg(*[F.first(c).alias(c) for c in (*about, "total", "block")], F.count("*").alias("n"))
+    content = F.xxhash64("block", "total")
+    each = parsed.where("segment is not null").groupBy("origin", "segment").agg(F.min_by(F.struct(*about, "total", "block"), content).alias("one"), (F.min(content) == F.max(content)).alias("same"), F.count("*").alias("n")).select("origin", "segment", "one.*", "same", "n")
     of_first = [F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in (*about, "n")]
-    joined = each.groupBy("origin").agg(*of_first, F.max("total").alias("total"), F.count("*").alias("found"), F.max("segment").alias("last"), F.sum(F.length("block")).alias("bytes"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    complete = (F.col("found") == F.col("last")) & F.coalesce(F.col("bytes") == F.col("total"), F.lit(False))
+    joined = each.groupBy("origin").agg(*of_first, F.max("total").alias("total"), F.count("*").alias("found"), F.max("segment").alias("last"), F.sum(F.length("block")).alias("bytes"), F.bool_and(F.col("same") & F.col("block").isNotNull()).alias("same"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
+    complete = F.col("same") & (F.col("found") == F.col("last")) & F.coalesce(F.col("bytes") == F.col("total"), F.lit(False))
     joined = joined.where("n is not null").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    block = F.aggregate(F.col("parts.block"), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
-    joined = joined.select(F.col("origin").alias("record_id"), *about, F.when(complete, block).alias("block"), complete.alias("complete"))
+    joined = joined.select(F.col("origin").alias("record_id"), *about, F.when(complete, F.col("parts.block")).alias("blocks"), complete.alias("complete"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                payload = [None if kind == "revisit" or x is None else payload_of(x) for kind, x in zip(part.column(1).to_pylist(), part.column(7).to_pylist(), strict=True)]
+                payload = [None if kind == "revisit" or x is None or None in x else payload_of(b"".join(x)) for kind, x in zip(part.column(1).to_pylist(), part.column(7).to_pylist(), strict=True)]
                 done = [ok and (kind == "revisit" or x is not None) for ok, kind, x in zip(part.column(8).to_pylist(), part.column(1).to_pylist(), payload, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:7], pa.array(payload, pa.binary()), pa.array(done, pa.bool_())], names=["record_id", "record_type", "url", "page_id", "digest", "refers_to", "length", "payload", "complete"])
 
     schema = "record_id string, record_type string, url string, page_id bigint, digest string, refers_to bigint, length bigint, payload binary, complete boolean"
-    return whole.unionByName(joined).select("record_id", *about, "block", "complete").mapInArrow(decode, schema)
+    return whole.unionByName(joined).select("record_id", *about, "blocks", "complete").mapInArrow(decode, schema)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, min_bytes: int = 0, segment_bytes: int = 16384) -> DataFrame:

@@ -456,6 +456,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_warc_foreign_and_damaged_archives(spark, tmp_path):
+    """Garbage is passed over; records cut off, and segments with other copies, are incomplete; the rest is read."""
+    html = ["a" * 9000, "b" * 9000, "c" * 9000, "small"]
+    records = [list(warc.records(i, f"http://e.com/{i}", h.encode(), None, 4096)) for i, h in enumerate(html)]
+    changed = records[1][1].replace("bbbb", "bxbb", 1)
+    whole = "\r\n\r\n".join(["junk before", *records[0], *records[1], changed, "WARC/1.1\r\nno: length\r\n\r\nx", records[3][0], *records[2]])
+    (tmp_path / "x.warc").write_text(whole[:-50], newline="")  # the last segment of the third is cut off
+    for _ in range(2):
+        got = {r["page_id"]: (r["complete"], r["payload"] and bytes(r["payload"]).decode()) for r in warc.read(spark, str(tmp_path), files="*.warc").collect()}
+        assert got == {0: (True, html[0]), 1: (False, None), 2: (False, None), 3: (True, "small")}
+    assert list(warc.parse(b"nothing")) == [] and list(warc.parse(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc")) == [({"content-length": "9"}, None)]
+
+
 def test_warc_broken_framing():
     assert warc.unchunked(warc.chunked("é漢".encode() * 5000)) == "é漢".encode() * 5000
     assert warc.unchunked(b"5\r\nabc") is None and warc.unchunked(b"zz\r\n") is None
