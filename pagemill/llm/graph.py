@@ -13,6 +13,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Rounds of contraction. Each node takes its smallest neighbour (or itself) as parent, so a parent is never
     larger and every tree's root is its smallest node; the edges are rewritten to the roots' names, equal ones and
     loops go, and the rest is the next round's graph. Only nodes smaller than all their neighbours outlive a round.
+
+    A hub doesn't gather its rows in one task where that can be helped: whether parents have parents of their own is
+    asked once a parent, not once a node, and an edge's larger end is renamed first, so that a star's edges are loops,
+    and gone, before its middle is joined on. What is left to join on a hub is split by adaptive skew joins.
     Nothing but the first row of a table, as a sign that it isn't empty, goes to the driver. Null ends are ignored. No edges give no rows.
     """
     pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
@@ -25,12 +29,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         jump = cut(parent.select(F.col("u").alias("old"), F.col("p").alias("new")))
         while True:  # to the roots: each step doubles the reach, so a chain of n takes log n steps
             to = jump.select(F.col("old").alias("new"), F.col("new").alias("far"))
-            longer = cut(jump.join(to, "new").select("old", "new", "far"))
-            jump = longer.select("old", F.col("far").alias("new"))
-            if not longer.where("new <> far").take(1):
+            on = cut(jump.select("new").distinct().join(to, "new").where("new <> far"))
+            if not on.take(1):
                 break
+            jump = cut(jump.join(on, "new", "left").select("old", F.coalesce("far", "new").alias("new")))
         names = cut(_renamed(names, jump, "component"))
-        graph = _renamed(_renamed(graph, jump, "u"), jump, "v").where("u <> v")
+        graph = _renamed(_renamed(graph, jump, "v").where("u <> v"), jump, "u").where("u <> v")
         graph = cut(graph.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     return names
 
