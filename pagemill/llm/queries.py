@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, decontaminate, html_text, passages, pii, simhash, substrings, toxicity, vectors, warc
 from .common import table
+from .twins import oracle_sql  # noqa: F401
 
 #: The vocabulary of the BPE query; a file outside the repository.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,7 +76,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9_simhash,
         "op10_passages": op10_passages,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
