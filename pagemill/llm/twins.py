@@ -1,7 +1,7 @@
 """SQL twins of the queries that SQL can express: each says the contract plainly, by comparing everything with everything.
 
 The others have none: op2, op4, op5, op7, op8 and op9 rest on keyed permutations, merge ranks, a parser, a fitted model or
-XXH64, which DuckDB lacks. They are tested against brute force in `tests/llm`.
+XXH64, which DuckDB lacks. `tests/llm` holds them against brute force, planted values, hand-made pages or held-out accuracy.
 """
 
 SUBSTRINGS = r"""
