@@ -39,6 +39,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row, by doc_id, of each group of documents linked by a similarity of 0.8 of their five-word shingles.
 
+    The pigeonring's links of SimHash fingerprints come first, an exact filter finds the rest, the shingles decide.
     Null and empty texts are one group; null ids come last; of wholly equal rows one stays.
     """
     return simhash.representatives(docs, words=5, similarity=0.8)

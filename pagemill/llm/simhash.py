@@ -3,12 +3,12 @@
 Fingerprints of 64 bits lie on a ring of 16 segments of 4 bits. If two differ in at most 3 bits, then by the
 pigeonring principle there is a segment from which every chain of l consecutive segments differs in at most
 l * 3 / 16 bits. The first five segments of that chain must be equal (budget 15 / 16), so the 20 bits at each of
-the 16 starts are the join keys; the longer chains (at most 1 bit in 10 segments, 2 in 15, 3 in all) prune a
-candidate before the full Hamming distance is taken. No pair is lost.
+the 16 starts are the join keys; the longer chains (at most 1 bit in 10 segments, 2 in 15) prune a candidate before
+the full Hamming distance is taken, of those alone that they leave. No pair is lost.
 
 Equal fingerprints are one node, found by an aggregation that combines before the shuffle, so groups of copies
-never meet in a task. Within a key bucket the links are reduced to a spanning forest at once: what leaves a task is
-never more than its rows. A bucket that is large is split again by blocks of its other bits, of which a pair
+never meet in a task. Within a key bucket the links are reduced to a spanning forest of them at once: what leaves a
+task is never more than its rows, and each is a pair within the distance. A bucket that is large is split again by blocks of its other bits, of which a pair
 within the distance agrees in one at least.
 """
 
@@ -43,12 +43,16 @@ def fingerprint(text: bytes, words: int) -> int:
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
     n = max(1, len(tokens) - words + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=n))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes, as a signed number: a bit is 1 if it is set in over half of them."""
     counts = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, n, 65536):
+    for start in range(0, len(h), 65536):
         raw = h[start : start + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,28 +73,36 @@ def _rotated(fp: np.ndarray, by: int) -> np.ndarray:
     return fp if by == 0 else (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by))
 
 
-def _ring(x: np.ndarray, distance: int) -> np.ndarray:
-    """Whether differences, rotated so that the chain starts at the top bit, hold every chain's budget."""
-    ok = np.bitwise_count(x) <= distance
-    step = BITS // SEGMENTS
-    for length in range(1, SEGMENTS):
+def _chained(x: np.ndarray, distance: int) -> np.ndarray:
+    """Positions of the differences that hold every chain's budget, in a flat array of those of a bucket, rotated so that
+    the chain starts at the top bit.
+
+    The chain grows from the bucket's key, and what a length rules out is not looked at again. The last length is the
+    ring: the Hamming distance of what the chains left.
+    """
+    at, step = np.arange(len(x)), BITS // SEGMENTS
+    for length in range(KEY // step + 1, SEGMENTS + 1):
         budget = length * distance // SEGMENTS
-        if (length + 1) * distance // SEGMENTS > budget:  # the longest chain with this budget implies the shorter
-            ok &= np.bitwise_count(x >> np.uint64(BITS - step * length)) <= budget
-    return ok
+        if length == SEGMENTS or (length + 1) * distance // SEGMENTS > budget:  # the longest chain with this budget implies the shorter
+            ok = np.flatnonzero(np.bitwise_count(x >> np.uint64(BITS - step * length)) <= budget)
+            x, at = x[ok], at[ok]
+    return at
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n nodes reaches by the links a-b."""
-    root = np.arange(n)
-    while len(a):
-        one, two = root[a], root[b]
-        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))  # the larger root hangs below the smaller
+    """Positions of links a-b that span what all of them connect of n nodes."""
+    root, at, kept = np.arange(n), np.flatnonzero(a != b), [np.empty(0, np.int64)]
+    while len(at):
+        one, two = root[a[at]], root[b[at]]
+        high, low = np.maximum(one, two), np.minimum(one, two)
+        np.minimum.at(root, high, low)  # the larger root hangs below the smallest that it meets
+        pick, hung = np.full(n, -1), root[high] == low
+        pick[high[hung]] = at[hung]
+        kept.append(pick[pick >= 0])
         while not np.array_equal(jumped := root[root], root):
             root = jumped
-        left = root[a] != root[b]
-        a, b = a[left], b[left]
-    return root
+        at = at[root[a[at]] != root[b[at]]]
+    return np.concatenate(kept)
 
 
 def _links(fp: np.ndarray, rows: np.ndarray, free: list[int], distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,13 +113,14 @@ def _links(fp: np.ndarray, rows: np.ndarray, free: list[int], distance: int) ->
             one = rows[start : start + BLOCK]
             for other in range(start, n, BLOCK):
                 two = rows[other : other + BLOCK]
-                i, j = np.nonzero(_ring(fp[one][:, None] ^ fp[two][None, :], distance))
+                i, j = np.divmod(_chained((fp[one][:, None] ^ fp[two][None, :]).ravel(), distance), len(two))
                 a, b = one[i], two[j]
                 keep = a < b
                 if keep.any():
-                    ids, at = np.unique(np.concatenate([a[keep], b[keep]]), return_inverse=True)
-                    root = _forest(len(ids), *np.split(at, 2))
-                    yield ids, ids[root]
+                    a, b = a[keep], b[keep]
+                    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    some = _forest(len(ids), *np.split(at, 2))
+                    yield a[some], b[some]
         return
     for part in np.array_split(np.array(free), distance + 1):
         mask = np.uint64(sum(1 << int(bit) for bit in part))
@@ -120,7 +133,7 @@ def _links(fp: np.ndarray, rows: np.ndarray, free: list[int], distance: int) ->
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """Spanning links `u`, `v` among distinct fingerprints (column fp) at `distance` differing bits or fewer.
+    """Spanning links `u`, `v` among distinct fingerprints (column fp), each a pair at `distance` differing bits or fewer.
 
     Two fingerprints are in one component of the links if and only if they are in one of all such pairs.
     """
@@ -170,7 +183,7 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, step: int) ->
         i = np.flatnonzero(few[:-gap] & (group[:-gap] == group[gap:])) if gap < len(key) else np.empty(0, np.int64)
         if len(i) == 0:
             break
-        hit = i[_ring(fp[i] ^ fp[i + gap], distance)]
+        hit = i[_chained(fp[i] ^ fp[i + gap], distance)]
         a.append(hit)
         b.append(hit + gap)
     for g in np.flatnonzero(sizes > 32):
@@ -189,11 +202,10 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, distance: int, step: int) ->
     for s in np.unique(by):
         plain[by == s] = _rotated(fp[ids[by == s]], int((BITS - s) % BITS))
     values, name = np.unique(plain, return_inverse=True)
-    name = name[at]
-    root = _forest(len(values), name[: len(a)], name[len(a) :])
-    moved = np.flatnonzero(root != np.arange(len(values)))
-    if len(moved):
-        yield pa.RecordBatch.from_arrays([pa.array(values[moved].view(np.int64)), pa.array(values[root[moved]].view(np.int64))], names=["u", "v"])
+    one, two = np.split(name[at], 2)
+    some = _forest(len(values), one, two)
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(values[x[some]].view(np.int64)) for x in (one, two)], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, key: str
     return prints.join(named, prints["fp"] == named["__fp"]).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Documents alike by their shingles: prefix filtering finds every candidate, the sets themselves decide.
+# Documents alike by their shingles: pigeonring links come first, prefix filtering finds every candidate that they leave,
+# the sets themselves decide.
 
 #: Shingles of about FREQUENT documents or more are put last in the order; one text in SAMPLE is read to find them.
 SAMPLE, FREQUENT, HOT = 64, 256, 200_000
@@ -233,7 +246,7 @@ def _name(h: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64))
 
 
-_NODE = StructType([StructField("node", LongType()), StructField("n", IntegerType()), StructField("low", IntegerType()), StructField("high", IntegerType()), StructField("prefix", BinaryType()), StructField("sketch", BinaryType())])
+_NODE = StructType([StructField("node", LongType()), StructField("n", IntegerType()), StructField("low", IntegerType()), StructField("high", IntegerType()), StructField("fp", LongType()), StructField("prefix", BinaryType()), StructField("sketch", BinaryType())])
 _ROW = "bucket bigint, node bigint, n int, low int, high int, place int"
 
 
@@ -256,6 +269,24 @@ class _Rule:
         return (n * self.den >= m * self.num) & (np.minimum(n - i, m - j) >= self.overlap(n, m))
 
 
+def _ringed(nodes: DataFrame, distance: int = 3) -> DataFrame:
+    """u, v: spanning pairs of sets with fingerprints at `distance` differing bits or fewer, by the pigeonring. Of sets
+    with one fingerprint each meets the first, which stands for all of them in the ring."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    pairs = links(first, distance)
+    for end in "uv":
+        pairs = pairs.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    equal = nodes.select("node", "fp").join(first, "fp").where("node <> first")
+    return pairs.select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v")).unionByName(equal.select(F.col("first").alias("u"), F.col("node").alias("v")))
+
+
+def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs u, v whose ends are not yet in one component."""
+    for end in "uv":
+        pairs = pairs.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
+    return pairs.where("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v")
+
+
 def _hot(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample and their counts. They only order the shingles: any order finds the same pairs."""
 
@@ -446,11 +477,12 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     groups are connected. The first row is that with the smallest doc_id (nulls last), then by the row's hash; of
     wholly equal rows one stays. Null and empty texts are one group.
 
-    The shingles have one order for all sets, rare ones first. Sets that are alike share one of the first shingles
-    of both (prefix filtering), so the buckets of these hold every pair; sizes, places and parity sketches rule out
-    only pairs that cannot be alike, and the rest is compared by the sets. First each set meets its next in size in a
-    bucket, and in two orders by a hash of the set; then all pairs of a bucket that these links leave in different
-    components.
+    First come pairs of sets whose SimHash fingerprints link by the pigeonring, at 3 bits or fewer. That loses pairs
+    alike, so the rest follows exactly. The shingles have one order for all sets, rare ones first. Sets that are alike
+    share one of the first shingles of both (prefix filtering), so the buckets of these hold every pair; sizes, places
+    and parity sketches rule out only pairs that cannot be alike, and the rest is compared by the sets. Of what is in
+    different components so far, each set meets its next in size in a bucket, and in two orders by a hash of the set;
+    then all pairs of a bucket that these links leave in different components.
     """
     rule = _Rule(similarity)
     hot, counts = _hot(docs, words, text)
@@ -458,33 +490,36 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", 1 << 20):
-                names, sizes, lows, highs, prefixes, sketches = [], [], [], [], [], []
+                names, sizes, lows, highs, prints, prefixes, sketches = [], [], [], [], [], [], []
                 for x in utf8(part.column(1)):
                     h = shingles(x or b"", words)
                     names.append(_name(h))
                     sizes.append(len(h))
                     lows.append(int(h[0] >> np.uint64(33)))
                     highs.append(int(h[-1] >> np.uint64(1) & np.uint64(0x7FFFFFFF)))
+                    prints.append(_majority(h))
                     sketches.append(_sketch(h))
                     if len(hot):
                         at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                         h = h[np.lexsort((h, np.where(hot[at] == h, counts[at], 0)))]
                     prefixes.append(h[: rule.prefix(len(h))].tobytes())
-                columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), part.column(0)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "low", "high", "prefix", "sketch", "row"])
+                columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary()), part.column(0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "low", "high", "fp", "prefix", "sketch", "row"])
 
     every = [f"`{c}`" for c in docs.columns]
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*every).alias("h"))
     source = docs.select(order.alias("row"), F.col(text).cast("string").alias("__text"))
     signed = source.mapInArrow(sign, StructType([*_NODE.fields, source.schema["row"]]))
-    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "prefix", "sketch")], F.min("row").alias("row")))
+    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "fp", "prefix", "sketch")], F.min("row").alias("row")))
+    found = _alike(_bounded(_ringed(nodes), nodes, rule), nodes, docs, words, rule, text)
     rows = cut(_shared(nodes))
-    links = _alike(_bounded(_candidates(rows.withColumn("component", F.col("node")), rule, 2), nodes, rule), nodes, docs, words, rule, text)
-    joined = components(links)
+    next_ones = _across(_candidates(rows.withColumn("component", F.col("node")), rule, 2), components(found))
+    found = found.unionByName(_alike(_bounded(next_ones, nodes, rule), nodes, docs, words, rule, text))
+    joined = components(found)
     apart = rows.join(joined, "node", "left").select("bucket", "n", "node", "place", F.coalesce("component", "node").alias("component"), "low", "high")
     apart = apart.repartition(shards(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "n", "node")
     more = _alike(_bounded(_candidates(apart, rule, None), nodes, rule), nodes, docs, words, rule, text)
-    near = components(links.unionByName(more))
+    near = components(found.unionByName(more))
     named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__n"), F.col("row.i").alias("__i"), F.col("row.h").alias("__h"))
     packed = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64(*every).alias("hash")).select("doc", F.col("doc_id").alias("id"), "hash")

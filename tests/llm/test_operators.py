@@ -611,6 +611,25 @@ def test_pigeonring_loses_no_pair(spark):
             assert got[x] == min(signed[j] for j in np.flatnonzero(root == root[k]))
 
 
+def test_chains_prune_before_the_distance(monkeypatch):
+    """The first chain beyond the key is counted for all pairs of a bucket, later chains and the distance for what is left."""
+    fp = np.random.default_rng(4).integers(0, 2**44, 600, dtype=np.uint64)
+    fp[300:] = fp[:300] ^ np.uint64(5)
+    count, counted = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(x.size) or count(x))
+    found = {frozenset(x) for b in simhash._bucket_links(np.zeros(600, np.int64), fp, 3, 4) for x in zip(*b.to_pydict().values(), strict=True)}
+    assert found == {frozenset(x) for x in zip(fp[:300].tolist(), fp[300:].tolist(), strict=True)}
+    assert counted[0] == 600 * 600 and sum(counted[1:]) < 0.01 * counted[0]
+
+
+@pytest.mark.parametrize("crowd", [0, 40])
+def test_links_are_pairs_within_the_distance(crowd):
+    fp = np.array([0, 0b111, 0b111111, *((k + 1) << 34 for k in range(crowd))], np.uint64)
+    found = [x for b in simhash._bucket_links(np.zeros(len(fp), np.int64), fp, 3, 4) for x in zip(*b.to_pydict().values(), strict=True)]
+    assert all((u ^ v).bit_count() <= 3 for u, v in found)
+    assert {frozenset(x) for x in found} >= {frozenset((0, 7)), frozenset((7, 63))}
+
+
 def test_representatives(docs, odd):
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns

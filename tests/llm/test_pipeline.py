@@ -6,12 +6,13 @@ import random
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from pagemill.llm import bpe, decontaminate, pii, queries
+from pagemill.llm import bpe, decontaminate, pii, queries, simhash
 
-from .test_operators import firsts, near_copies
+from .test_operators import firsts, five_words, near_copies
 
 GOOD, BAD = [f"g{chr(97 + k % 26)}{chr(97 + k // 26)}ood" for k in range(300)], ["grubble", "snorf", "blechy"]
 OWN = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,6 +65,27 @@ def test_near_duplicate_stage_against_all_pairs(spark, tables):
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, tables[0]).collect()} == firsts(texts)
 
 
+def test_near_duplicate_stage_links_by_the_pigeonring(spark, tables, monkeypatch):
+    """Without the prefix filter's candidates, what is left are the links of SimHash fingerprints, judged by the sets."""
+    rng = random.Random(8)
+    pairs = []
+    for k in range(40):
+        base = [f"w{rng.random()}" for _ in range(400)]
+        pairs.append((" ".join(base), " ".join([*base[: 400 - 20 * (k % 10)], f"end{k}"])))
+    texts = [t for pair in pairs for t in pair]
+    prints = []
+    for t in texts:
+        h = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in five_words(t)]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    close = {2 * k + 1 for k in range(40) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 3}
+    alike = set(range(80)) - firsts(texts)
+    near = close & alike
+    assert near and near < alike
+    monkeypatch.setattr(simhash, "_candidates", lambda rows, rule, near: rows.sparkSession.createDataFrame([], "u long, v long"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], OWN)
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, tables[0]).collect()} == set(range(80)) - near
+
+
 def test_whole_pipeline(spark, tables):
     folder, texts, items = tables
     out = {r["doc_id"]: r for r in pipeline.run(spark, folder).collect()}
