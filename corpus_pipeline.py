@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemill.llm import bpe, decontaminate, pii, simhash, toxicity
-from pagemill.llm.common import shared_dir, table
+from pagemill.llm.common import delete, shared_dir, table
 from pagemill.llm.queries import PII_KEY, RANKS
 
 
@@ -74,11 +74,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the rows of the last. A stage's table goes once the next one is written."""
     folder = f"{shared_dir(spark)}/pagemill-pipeline-{uuid.uuid4().hex}"
@@ -87,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            _delete(spark, f"{folder}/{k - 1}")
+            delete(spark, f"{folder}/{k - 1}")
     return docs

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.session import checkpointed as cut, shared_dir, ship
+from pagemill.session import Scratch, checkpointed as cut, delete, shared_dir, ship
 
 #: Stands in for a null document id where ids are compared: such rows come after every other.
 NO_ID = 2**63 - 1
 
-__all__ = ["NO_ID", "cut", "shards", "shared_dir", "slices", "table", "utf8"]
+__all__ = ["NO_ID", "Scratch", "cut", "delete", "shards", "shared_dir", "slices", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import cut, shards, slices, utf8
+from .common import Scratch, cut, shards, slices, utf8
 from .graph import components
 
 BITS, SEGMENTS, KEY = 64, 16, 20
@@ -269,11 +269,11 @@ class _Rule:
         return (n * self.den >= m * self.num) & (np.minimum(n - i, m - j) >= self.overlap(n, m))
 
 
-def _ringed(nodes: DataFrame, distance: int = 3) -> DataFrame:
+def _ringed(nodes: DataFrame, keep: Scratch, distance: int = 3) -> DataFrame:
     """u, v: spanning pairs of sets with fingerprints at `distance` differing bits or fewer, by the pigeonring. Of sets
     with one fingerprint each meets the first, which stands for all of them in the ring."""
-    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    pairs = links(first, distance)
+    first = keep(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    pairs = keep(links(first, distance))
     for end in "uv":
         pairs = pairs.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
     equal = nodes.select("node", "fp").join(first, "fp").where("node <> first")
@@ -453,7 +453,7 @@ def _sets(nodes: DataFrame, asked: DataFrame, docs: DataFrame, words: int, text:
     return made.dropDuplicates(["node"])
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, rule: _Rule, text: str) -> DataFrame:
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, rule: _Rule, text: str, keep: Scratch) -> DataFrame:
     """The pairs u, v whose sets are alike, by the sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,10 +464,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, rule
                 keep.append(len(np.intersect1d(one, two, assume_unique=True)) >= rule.overlap(len(one), len(two)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut(pairs)
+    pairs = keep(pairs)
     sets = _sets(nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, words, text)
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
-    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint"))
+    return keep(both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint"))
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
@@ -510,18 +510,19 @@ def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, te
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64(*every).alias("h"))
     source = docs.select(order.alias("row"), F.col(text).cast("string").alias("__text"))
     signed = source.mapInArrow(sign, StructType([*_NODE.fields, source.schema["row"]]))
-    nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "fp", "prefix", "sketch")], F.min("row").alias("row")))
-    found = _alike(_bounded(_ringed(nodes), nodes, rule), nodes, docs, words, rule, text)
-    rows = cut(_shared(nodes))
-    next_ones = _across(_candidates(rows.withColumn("component", F.col("node")), rule, 2), components(found))
-    found = found.unionByName(_alike(_bounded(next_ones, nodes, rule), nodes, docs, words, rule, text))
-    joined = components(found)
-    apart = rows.join(joined, "node", "left").select("bucket", "n", "node", "place", F.coalesce("component", "node").alias("component"), "low", "high")
-    apart = apart.repartition(shards(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "n", "node")
-    more = _alike(_bounded(_candidates(apart, rule, None), nodes, rule), nodes, docs, words, rule, text)
-    near = components(found.unionByName(more))
-    named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
-    first = named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__n"), F.col("row.i").alias("__i"), F.col("row.h").alias("__h"))
+    with Scratch(docs.sparkSession) as keep:
+        nodes = cut(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "low", "high", "fp", "prefix", "sketch")], F.min("row").alias("row")))
+        found = _alike(_bounded(_ringed(nodes, keep), nodes, rule), nodes, docs, words, rule, text, keep)
+        rows = cut(_shared(nodes))
+        next_ones = _across(_candidates(rows.withColumn("component", F.col("node")), rule, 2), components(found, keep=keep))
+        found = found.unionByName(_alike(_bounded(next_ones, nodes, rule), nodes, docs, words, rule, text, keep))
+        joined = components(found, keep=keep)
+        apart = rows.join(joined, "node", "left").select("bucket", "n", "node", "place", F.coalesce("component", "node").alias("component"), "low", "high")
+        apart = apart.repartition(shards(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "n", "node")
+        more = _alike(_bounded(_candidates(apart, rule, None), nodes, rule), nodes, docs, words, rule, text, keep)
+        near = components(found.unionByName(more), keep=keep)
+        named = nodes.join(near, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+        first = cut(named.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__n"), F.col("row.i").alias("__i"), F.col("row.h").alias("__h")))
     packed = docs.select(F.struct("*").alias("doc"), "doc_id", F.xxhash64(*every).alias("hash")).select("doc", F.col("doc_id").alias("id"), "hash")
     kept = packed.join(first, (F.col("hash") == F.col("__h")) & F.col("id").eqNullSafe(F.col("__i")), "left_semi")
     return kept.dropDuplicates(["id", "hash"]).select("doc.*")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import public_tokenizers as P
 import pytest
@@ -10,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from pagemill.llm import bpe, decontaminate, pii, queries, simhash
+from pagemill.llm import bpe, decontaminate, graph, pii, queries, simhash
+from pagemill.session import Scratch
 
 from .test_operators import firsts, five_words, near_copies
 
@@ -86,6 +88,42 @@ def test_near_duplicate_stage_links_by_the_pigeonring(spark, tables, monkeypatch
     assert {r["doc_id"] for r in pipeline.near_duplicates(spark, docs, tables[0]).collect()} == set(range(80)) - near
 
 
+def test_near_duplicate_stage_leaves_no_tables_of_its_steps(spark, tables, monkeypatch):
+    """Three checkpoints stay, of the sets, the rows of the buckets and the first rows; all else goes with the step, failed ones too."""
+    texts, shared = near_copies(21), Path(spark.conf.get("spark.checkpoint.dir"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], OWN)
+
+    def there():
+        return {p for p in shared.rglob("*") if p.is_dir() and p.name.startswith(("rdd-", "pagemill-scratch-"))}
+
+    before = there()
+    out = pipeline.near_duplicates(spark, docs, tables[0])
+    made = there() - before
+    assert len(made) <= 3 and all(p.name.startswith("rdd-") for p in made)
+    assert {r["doc_id"] for r in out.collect()} == firsts(texts)
+
+    def broken(*_):
+        raise ValueError("no candidates")
+
+    monkeypatch.setattr(simhash, "_candidates", broken)
+    with pytest.raises(ValueError, match="no candidates"):
+        pipeline.near_duplicates(spark, docs, tables[0])
+    assert not [p for p in there() if p.name.startswith("pagemill-scratch-")]
+
+
+def test_components_in_a_scratch_folder(spark):
+    """The same components as by checkpoints; a table with a successor is gone, and so is all with the folder."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 90), (95, 100), (7, 7)], "u long, v long")
+    with Scratch(spark) as keep:
+        kept = graph.components(edges, keep=keep)
+        assert len(list(Path(keep.folder).iterdir())) == 4  # graph, jump, on, names
+        got = {r["node"]: r["component"] for r in kept.collect()}
+        none = graph.components(edges.where("u = 7 and v = 7"), keep=keep)
+        assert none.collect() == []
+    assert got == {**dict.fromkeys(range(61), 0), 90: 90, 95: 90, 100: 90} == {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert not Path(keep.folder).exists()
+
+
 def test_whole_pipeline(spark, tables):
     folder, texts, items = tables
     out = {r["doc_id"]: r for r in pipeline.run(spark, folder).collect()}
